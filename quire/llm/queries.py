@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, nbsvm, tokens
+from quire.llm import langid, nbsvm, suffix, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", held_out(4, 2), "lang_pred", "score", "bits_per_byte")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -43,5 +47,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, model).select("doc_id", held_out(4, 2), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op7_token_counts, op8_quality, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_decontamination, op7_token_counts, op8_quality, op9_toxicity)}
 ORACLES: dict[str, str] = {}
