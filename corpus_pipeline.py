@@ -1,12 +1,69 @@
-"""Stages of a training corpus: language, toxicity, near copies, benchmark passages, mixture."""
+"""Stages of a training corpus: language, toxicity, near copies, benchmark passages, mixture.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with the columns of documents; the last returns the mixture's
+account. ``run`` writes each stage's rows to the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import chosen_path, langid, mixing, nbsvm, queries, suffix
+from quire.llm.shared import Scratch
+
+#: A document whose best language has less than this share of the likelihoods is rejected.
+LEAST_SCORE = 0.5
+
+
+def _boxed(docs: DataFrame) -> DataFrame:
+    """The whole row as one column, beside the columns that the operators read: no name can clash."""
+    return docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter, and texts whose language is open."""
+    trees = langid.fit(langid.sample(docs, queries.remainder(4) != 2))
+    return langid.predict(_boxed(docs), trees, ["_row"]).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that the classifier calls toxic."""
+    model = nbsvm.fit(*nbsvm.sample(docs, queries.table(spark, sf_dir, "labels"), "toxic", queries.remainder(4) != 2), nbsvm.toxicity_grams)
+    return nbsvm.score(_boxed(docs), model, keep=["_row"]).where("predicted = 0").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of every group the document of the smallest id, and of rows that repeat an id one."""
+    found = chosen_path.similar_documents(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    kept = Scratch(spark).save(found.groupBy("_kept").agg(F.count("*").alias("_n")), "kept")
+    out = docs.join(kept.where("_kept is not null").select("_kept"), docs.doc_id == F.col("_kept"), "left_semi")
+    if not kept.where("_n > 1 and _kept is not null").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold benchmark passages."""
+    return suffix.contamination(_boxed(docs), queries.table(spark, sf_dir, "benchmark"), ["_row"]).where("not contaminated").select("_row.*")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mixture takes of each document that is left."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture)]
 
-STAGES: list = []
+#: The stages learn, hash and draw: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark)
+    docs = queries.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return docs

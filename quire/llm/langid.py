@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
 
@@ -133,7 +134,7 @@ def sample(docs: DataFrame, learn: Column, rows: int = FIT_DOCS) -> dict[str, li
     return out
 
 
-def predict(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, trees: Trees, keep: list | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) with lang_pred, score (the language's share of the likelihoods) and bits_per_byte.
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Of languages that code
@@ -158,5 +159,5 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score), pa.array(rate)], names=[*batch.schema.names[:-2], "lang_pred", "score", "bits_per_byte"])
 
     picked = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2])
-    return picked.mapInArrow(apply, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    schema = T.StructType(picked.schema.fields[:-2]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    return picked.mapInArrow(apply, schema)

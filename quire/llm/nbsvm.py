@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
 
@@ -218,7 +219,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     return [got["text"][i].as_py().encode() for i in order], [got["_y"][i].as_py() for i in order]
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) of ``docs`` with ``score`` and ``predicted``; a null text counts as empty."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -232,5 +233,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
     picked = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(apply, f"{schema}, score double, predicted int")
+    return picked.mapInArrow(apply, T.StructType(picked.schema.fields[:-1]).add("score", "double").add("predicted", "integer"))

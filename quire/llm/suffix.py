@@ -9,7 +9,6 @@ into integers; longer matches are extended word by word.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
 
@@ -200,10 +200,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Benchmark
         yield benchmark_block([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
 
 
-_SCHEMA = "n_words long, spans array<int>, items array<string>"
-
-
-def hits(docs: DataFrame, bench: Benchmark, keep: list[str]) -> DataFrame:
+def hits(docs: DataFrame, bench: Benchmark, keep: list) -> DataFrame:
     """``keep`` of every document with n_words, the merged word spans (start, end, start, end, ...) that windows cover, and the items whose windows occur."""
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 
@@ -231,8 +228,8 @@ def hits(docs: DataFrame, bench: Benchmark, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
 
     picked = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(apply, f"{schema}, {_SCHEMA}")
+    schema = T.StructType(picked.schema.fields[:-1]).add("n_words", "long").add("spans", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
+    return picked.mapInArrow(apply, schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
@@ -260,7 +257,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW)
     return every.groupBy("item_id", "item_word").agg(F.max(F.struct("words", "doc_id", "doc_word")).alias("m")).select("item_id", "item_word", "m.*")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list | None = None) -> DataFrame:
     """``keep`` (default doc_id) of every document, with n_words, n_hit, n_items, items (sorted as strings), items_sha256 and contaminated.
 
     A null or wordless text has no words and is not contaminated; a wordless item has no window. Items with a null id count for n_hit

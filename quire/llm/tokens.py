@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries of the broadcast table, texts that it is counted on at most (in expectation), entries of a worker's cache, and the longest pre-token kept in either.
 TABLE, TABLE_DOCS, CACHE, LONGEST = 1 << 16, 2000, 1 << 19, 64
@@ -121,7 +122,7 @@ def frequent(docs: DataFrame, path: str, entries: int = TABLE, rows: int = TABLE
     return {w: own.words[w] for w, _ in counts.most_common(entries) if len(w) <= LONGEST and _MARK not in w} if own.parts else {}
 
 
-def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, keep: list | None = None, limit: int = LIMIT) -> DataFrame:
     """Columns ``keep`` (default doc_id) with n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each whole text; null counts as empty."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
@@ -134,5 +135,4 @@ def token_counts(docs: DataFrame, path: str, keep: list[str] | None = None, limi
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(n > limit)], names=[*batch.schema.names[:-1], "n_tokens", "over_limit"])
 
     picked = docs.select(*keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(apply, f"{schema}, n_tokens long, over_limit boolean")
+    return picked.mapInArrow(apply, T.StructType(picked.schema.fields[:-1]).add("n_tokens", "long").add("over_limit", "boolean"))
