@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chosen_path, langid, mixing, nbsvm, suffix, tokens
+from quire.llm import chosen_path, itq, langid, mixing, nbsvm, suffix, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_documents(table(spark, sf_dir, "documents"), size=3, similar=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_decontamination, op6_mixing, op7_token_counts, op8_quality, op9_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_decontamination, op4_embeddings, op6_mixing, op7_token_counts, op8_quality, op9_toxicity, op10_minhash)}
 ORACLES: dict[str, str] = {}
