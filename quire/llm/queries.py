@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chosen_path, itq, langid, mixing, nbsvm, suffix, tokens
+from quire.llm import chosen_path, itq, langid, mixing, nbsvm, quotes, suffix, tokens, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def held_out(n: int, rest: int) -> Column:
     return F.coalesce(remainder(n) == rest, F.lit(False)).alias("held_out")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_threads(table(spark, sf_dir, "conversations"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = langid.fit(langid.sample(docs, remainder(4) != 2))
@@ -35,6 +39,10 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
@@ -59,5 +67,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_documents(table(spark, sf_dir, "documents"), size=3, similar=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_decontamination, op4_embeddings, op6_mixing, op7_token_counts, op8_quality, op9_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_language_id, op3_decontamination, op4_embeddings, op5_html_extraction, op6_mixing, op7_token_counts, op8_quality, op9_toxicity, op10_minhash)}
 ORACLES: dict[str, str] = {}
