@@ -1,10 +1,8 @@
-"""Queries by name with their SQL."""
+"""All queries by name, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quire.plans import figure_queries, store_queries, text_queries
+from quire.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "figure_queries", "store_queries", "text_queries"]
