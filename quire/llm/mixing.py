@@ -180,7 +180,8 @@ def mixture(starts: DataFrame, plans: dict[str, Plan]) -> DataFrame:
     high = F.least(last, (F.col("block") + 1) * BLOCK)
     pieces = pieces.select("source_key", "block", "doc_id", "start", (low - F.col("start")).alias("doc_word"), (low - F.col("block") * BLOCK).alias("a"), (high - F.col("block") * BLOCK).alias("b"))
     words = F.least("b", "takes") - F.col("a")
-    return pieces.join(slots(starts.sparkSession, plans), ["source_key", "block"]).withColumn("words", words).where("words > 0").select("shard", "source_key", "slot", "doc_id", "start", "doc_word", "words")
+    # both sides grow with the corpus; their size estimates are too low after generated rows, so the strategy is named
+    return pieces.hint("merge").join(slots(starts.sparkSession, plans), ["source_key", "block"]).withColumn("words", words).where("words > 0").select("shard", "source_key", "slot", "doc_id", "start", "doc_word", "words")
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
