@@ -25,7 +25,7 @@ from quire.llm.shared import Scratch
 BLOCK, SHARD, SEED = 128, 4096, 20240501
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents of a packing bucket, in expectation.
-_BUCKET = 20_000
+_BUCKET = 2_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
