@@ -4,8 +4,9 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
+TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(TESTS))
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], TESTS, os.environ.get("PYTHONPATH", "")])  # for the Python workers
 
 
 @pytest.fixture(scope="session")
