@@ -129,7 +129,7 @@ def sample(docs: DataFrame, learn: Column, rows: int = FIT_DOCS) -> dict[str, li
     bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1.0, rows / n)))])
     got = own.where((F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < bound[F.col("lang")]) & (F.length("text") > 0)).toArrow()
     out: dict[str, list[bytes]] = {}
-    for _, text, lang in sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "text", "lang")), strict=True)):
+    for _, text, lang in sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "text", "lang")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
         out.setdefault(lang, []).append(text.encode())
     return out
 
