@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of every group the document of the smallest id, and of rows that repeat an id one."""
     found = chosen_path.similar_documents(docs).where("kept").select(F.col("doc_id").alias("_kept"))
     kept = Scratch(spark).save(found.groupBy("_kept").agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept.where("_kept is not null").select("_kept"), docs.doc_id == F.col("_kept"), "left_semi")
+    out = docs.join(kept.where("_kept is not null").select("_kept").hint("merge"), docs.doc_id == F.col("_kept"), "left_semi")
     if not kept.where("_n > 1 and _kept is not null").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.union(docs.where("doc_id is null"))

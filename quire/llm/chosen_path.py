@@ -184,7 +184,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(data, offsets, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["c", "shingles"])
 
-    return docs.select(F.col("doc_id").alias("c"), "text").join(wanted, "c", "left_semi").mapInArrow(apply, "c long, shingles binary").where(F.octet_length("shingles") > 0)
+    # the same plan at every size: without the hint a short list would be broadcast
+    return docs.select(F.col("doc_id").alias("c"), "text").join(wanted.hint("merge"), "c", "left_semi").mapInArrow(apply, "c long, shingles binary").where(F.octet_length("shingles") > 0)
 
 
 def _assigned(nodes: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
