@@ -233,8 +233,12 @@ def similar_documents(docs: DataFrame, size: int = 3, similar: tuple[int, int] =
     for turn, trees in enumerate((F.col("tree") == 0, F.col("tree") > 0)):
         own = nodes.where(trees)
         own = own.withColumn("component", F.col("c")) if known is None else own.join(known.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        links = links.union(scratch.save(_compared(_assigned(own, classes, scratch, f"{turn}"), sets, similar), f"links-{turn}"))
+        if turn:
+            scratch.drop(f"links-{turn - 1}")
+        links = (known.select(F.col("node").alias("a"), F.col("component").alias("b")) if turn else links).union(scratch.save(_compared(_assigned(own, classes, scratch, f"{turn}"), sets, similar), f"links-{turn}"))
         known = scratch.save(graph.components(links, scratch, f"stars-{turn}"), f"known-{turn}")
+        scratch.drop(f"weighed-{turn}", f"deep-{turn}", f"weighed-deep-{turn}")
+    scratch.drop("nodes", "sets", "links", "links-1", "known-0")
     labelled = classes.join(known.withColumnRenamed("node", "c"), "c", "left").select("p", "q", "n_shingles", F.coalesce("component", "c").alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return sketched.drop("signature").join(labelled, ["p", "q", "n_shingles"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -35,5 +35,6 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         # stars: every leaf has one centre, and no centre is another's leaf
         if rows == leaves and now.select("a").distinct().join(now.select(b.alias("a")), "a", "left_semi").isEmpty():
             break
+    # only the last round is still read
     stars = now.select(b.alias("node"), a.alias("component"))
     return stars.union(now.select(a.alias("node"), a.alias("component")).distinct())

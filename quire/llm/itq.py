@@ -190,6 +190,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95, scratch: Scratch |
     several = usable.groupBy("vec_id").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi").select("vec_id")
     same = usable.join(several, "vec_id", "left_semi").join(classes.select("p", "q", "c"), ["p", "q"]).select(F.col("vec_id").alias("a"), F.col("c").alias("b"))
     known = scratch.save(graph.components(found.where("b is not null").select("a", "b").union(same), scratch, "stars"), "known")
+    scratch.drop("keyed", "buckets")
     sums = found.where("b is null").groupBy(F.col("a").alias("c"), "p").agg(F.sum("n").alias("n"))
     labelled = classes.select("p", "q", "c", "copies").join(known.withColumnRenamed("node", "c"), "c", "left").join(sums, ["c", "p"], "left")
     labelled = labelled.select("p", "q", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "c").alias("component_id"))

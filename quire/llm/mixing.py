@@ -123,7 +123,9 @@ def packed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     offsets = sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     inner = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["source_key", "bucket"])
-    return scratch.save(starts.select("doc_id", "source_key", "size", (F.col("offset") + F.col("inner")).alias("start")), "starts"), sums.groupBy("source_key").agg(F.sum("words").alias("total"))
+    starts = scratch.save(starts.select("doc_id", "source_key", "size", (F.col("offset") + F.col("inner")).alias("start")), "starts")
+    scratch.drop("sizes")
+    return starts, starts.groupBy("source_key").agg(F.sum("size").alias("total"))
 
 
 def planned(totals: DataFrame) -> dict[str, Plan]:
