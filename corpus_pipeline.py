@@ -6,31 +6,29 @@ account. ``run`` writes each stage's rows to the shared folder and reads them ag
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chosen_path, langid, mixing, nbsvm, queries, suffix
 from quire.llm.shared import Scratch
+from quire.llm.textbytes import BOXED, boxed, small_batches
 
 #: A document whose best language has less than this share of the likelihoods is rejected.
 LEAST_SCORE = 0.5
 
 
-def _boxed(docs: DataFrame) -> DataFrame:
-    """The whole row as one column, beside the columns that the operators read: no name can clash."""
-    return docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts whose language is open."""
     trees = langid.fit(langid.sample(docs, queries.remainder(4) != 2))
-    return langid.predict(_boxed(docs), trees, ["_row"]).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    return langid.predict(boxed(docs), trees, [BOXED]).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(f"{BOXED}.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that the classifier calls toxic."""
     model = nbsvm.fit(*nbsvm.sample(docs, queries.table(spark, sf_dir, "labels"), "toxic", queries.remainder(4) != 2), nbsvm.toxicity_grams)
-    return nbsvm.score(_boxed(docs), model, keep=["_row"]).where("predicted = 0").select("_row.*")
+    return nbsvm.score(boxed(docs), model, keep=[BOXED]).where("predicted = 0").select(f"{BOXED}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold benchmark passages."""
-    return suffix.contamination(_boxed(docs), queries.table(spark, sf_dir, "benchmark"), ["_row"]).where("not contaminated").select("_row.*")
+    return suffix.contamination(boxed(docs), queries.table(spark, sf_dir, "benchmark"), [BOXED]).where("not contaminated").select(f"{BOXED}.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +51,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture)]
+def _bounded(stage: Callable) -> Callable:
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+STAGES = [(f.__name__, _bounded(f)) for f in (language, toxicity, near_duplicates, decontamination, mixture)]
 
 #: The stages learn, hash and draw: SQL can't express them.
 ORACLE_SQL = None

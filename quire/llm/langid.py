@@ -147,7 +147,7 @@ def predict(docs: DataFrame, trees: Trees, keep: list | None = None) -> DataFram
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], object)
         for batch in batches:
-            text, letters = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            text, letters = tb.text_of(batch), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             best, score, rate = np.full(len(letters), len(names) - 1), np.zeros(len(letters)), np.zeros(len(letters))
             for a, b, data, offsets in tb.chunks(text) if own.languages else ():
                 bits = own.code_lengths(data, offsets)
@@ -156,8 +156,10 @@ def predict(docs: DataFrame, trees: Trees, keep: list | None = None) -> DataFram
                 best[a:b], score[a:b] = low, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                 rate[a:b] = least / np.maximum(1, np.diff(offsets))
             best[~letters], score[~letters] = len(names) - 1, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score), pa.array(rate)], names=[*batch.schema.names[:-2], "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:held], pa.array(names[best], pa.string()), pa.array(score), pa.array(rate)], names=[*batch.schema.names[:held], "lang_pred", "score", "bits_per_byte"])
 
-    picked = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = T.StructType(picked.schema.fields[:-2]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    text = F.col(f"{tb.BOXED}.text") if tb.BOXED in keep else F.col("text")
+    picked = tb.with_text(docs, keep, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    held = len(keep)
+    schema = T.StructType(picked.schema.fields[:held]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     return picked.mapInArrow(apply, schema)

@@ -227,10 +227,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list | No
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = tb.text_of(batch)
             p = [own.probabilities(data[a:b] for a, b in zip(o[:-1], o[1:], strict=True)) for _, _, data, o in tb.chunks(text)]
             p = np.concatenate(p) if p else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:held], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names[:held], "score", "predicted"])
 
-    picked = docs.select(*keep, F.col("text").alias("_text"))
-    return picked.mapInArrow(apply, T.StructType(picked.schema.fields[:-1]).add("score", "double").add("predicted", "integer"))
+    picked = tb.with_text(docs, keep)
+    held = len(keep)
+    return picked.mapInArrow(apply, T.StructType(picked.schema.fields[:held]).add("score", "double").add("predicted", "integer"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chosen_path, itq, langid, mixing, nbsvm, quotes, suffix, tokens, wrapper
+from quire.llm import chosen_path, itq, langid, mixing, nbsvm, quotes, suffix, textbytes, tokens, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    textbytes.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

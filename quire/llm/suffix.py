@@ -24,7 +24,7 @@ from quire.llm import textbytes as tb
 WINDOW, SHARE = 13, 20
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks of whole items.
 BLOCK_BYTES = 16 << 20
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 @dataclass
@@ -210,7 +210,7 @@ def hits(docs: DataFrame, bench: Benchmark, keep: list) -> DataFrame:
         names = [None if i is None else str(i) for i in own.ids]
         for batch in batches:
             n_words, spans, items = np.zeros(len(batch), np.int64), [None] * len(batch), [None] * len(batch)
-            for a, b, data, offsets in tb.chunks(batch.column(batch.num_columns - 1), _CHUNK):
+            for a, b, data, offsets in tb.chunks(tb.text_of(batch), _CHUNK):
                 part = shard(data, offsets, own)
                 n_words[a:b] = part.counts
                 place, length, window = occurrences(part, own)
@@ -225,10 +225,11 @@ def hits(docs: DataFrame, bench: Benchmark, keep: list) -> DataFrame:
                     new = np.r_[True, start[1:] > end[:-1]]
                     spans[a + d] = np.c_[start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]]].ravel().tolist()
                     items[a + d] = [x for x in {names[i] for i in np.unique(item[window[s:e]])} if x is not None]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:held], pa.array(n_words), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:held], "n_words", "spans", "items"])
 
-    picked = docs.select(*keep, F.col("text").alias("_text"))
-    schema = T.StructType(picked.schema.fields[:-1]).add("n_words", "long").add("spans", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
+    picked = tb.with_text(docs, keep)
+    held = len(keep)
+    schema = T.StructType(picked.schema.fields[:held]).add("n_words", "long").add("spans", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
     return picked.mapInArrow(apply, schema)
 
 
@@ -269,13 +270,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list | None = Non
     if len(found) == 1:
         merged = hits(docs, found[0], keep)
     else:
-        numbered = docs.select(*keep, "text", F.monotonically_increasing_id().alias("_row"))
+        numbered = docs.select(*keep, *([] if tb.BOXED in keep else ["text"]), F.monotonically_increasing_id().alias("_number"))
         every = None
         for bench in found:
-            part = hits(numbered, bench, [*keep, "_row"])
+            part = hits(numbered, bench, [*keep, "_number"])
             every = part if every is None else every.unionByName(part)
         spans = F.array_sort(F.flatten(F.collect_list(F.when(F.col("spans").isNotNull(), F.expr("transform(sequence(0, cast(size(spans)/2 as int) - 1), i -> struct(spans[2*i] as s, spans[2*i+1] as e))")))))
-        merged = every.groupBy("_row").agg(*[F.any_value(c).alias(c) for c in [*keep, "n_words"]], spans.alias("_s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("_row")
+        merged = every.groupBy("_number").agg(*[F.any_value(c).alias(c) for c in [*keep, "n_words"]], spans.alias("_s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("_number")
         merged = merged.withColumn("spans", F.expr("aggregate(_s, cast(array() as array<int>), (a, x) -> if(size(a) > 0 and x.s <= a[size(a)-1], concat(slice(a, 1, size(a)-1), array(greatest(a[size(a)-1], x.e))), concat(a, array(x.s, x.e))))")).drop("_s")
     # the fold x - a alternates signs: over (s1, e1, s2, e2, ...) it gives the sum of e - s
     n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (a, x) -> x - a)"), F.lit(0).cast("long"))

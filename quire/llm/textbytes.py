@@ -10,8 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+#: Name of the column that holds a whole row.
+BOXED = "_whole_row"
+
+CHUNK_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -62,6 +67,27 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+def with_text(docs: DataFrame, keep: list, *more: Column) -> DataFrame:
+    """``keep`` and, unless a boxed row among them holds it already, the text last but for ``more``."""
+    return docs.select(*keep, *([] if BOXED in keep else [F.col("text").alias("_text")]), *more)
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    names = batch.schema.names
+    return batch.column(names.index(BOXED)).field("text") if BOXED in names else batch.column(names.index("_text"))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """The whole row as one column, beside the id: no name can clash, and the text travels once."""
+    return docs.select(F.struct("*").alias(BOXED), "doc_id")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch of long texts takes, in the JVM and in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the index of its first word (with a closing total)."""
     n = len(data)
