@@ -105,26 +105,30 @@ def _distinct(grams: np.ndarray, stamp: np.ndarray) -> np.ndarray:
     return grams[stamp[grams] == order]
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-regularised hinge loss; the bias is one more feature of value 1."""
-    w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
-    norm = np.array([v @ v + 1.0 for v in values])
+def _descend(rows: list[np.ndarray], ratio: np.ndarray, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the L2-regularised hinge loss over features ratio[row] * scale; the bias is one more feature of value 1.
+
+    Returns coefficient times ratio for each bucket. Kept in that form, an update needs the squared ratios only, and no value is stored by row.
+    """
+    squared = ratio * ratio
+    z, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
+    norm = np.array([s * s * squared[r].sum() + 1.0 for r, s in zip(rows, scale, strict=True)])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
-            slope = y[i] * (w[r] @ v + bias) - 1.0
+            r = rows[i]
+            slope = y[i] * (scale[i] * z[r].sum() + bias) - 1.0
             new = min(max(alpha[i] - slope / norm[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
-                w[r] += step * v
+                z[r] += step * scale[i] * squared[r]
                 bias += step
                 moved = max(moved, abs(step))
         if moved < 1e-4:
             break
-    return w, bias
+    return z, bias
 
 
 def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -185,11 +189,8 @@ def fit(texts: list[bytes], labels: list[int], grams: Callable, *, smoothing: fl
             (up if y[i] > 0 else down)[rows[i]] += 1
         held = (up + down - 2 * smoothing) >= least
         ratio = np.where(held, np.log((up / up.sum()) / (down / down.sum())), 0.0)
-        own = [r[held[r]] for r in (rows[i] for i in part)]
-        sums = [ratio[r] * scale[i] for r, i in zip(own, part, strict=True)]
         share = (y[part] > 0).mean()
-        w, bias = _descend(own, sums, y[part], np.where(y[part] > 0, cost * 0.5 / share, cost * 0.5 / (1 - share)), epochs, 7)
-        return w * ratio, bias
+        return _descend([rows[i] for i in part], ratio, scale[part], y[part], np.where(y[part] > 0, cost * 0.5 / share, cost * 0.5 / (1 - share)), epochs, 7)
 
     fold = np.random.default_rng(11).permutation(len(y)) % folds
     out = np.zeros(len(y))

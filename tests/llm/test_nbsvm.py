@@ -32,10 +32,12 @@ def test_descent_reaches_the_optimum():
     """Duality gap of the hinge-loss problem."""
     r = np.random.default_rng(1)
     rows = [np.sort(r.choice(40, 6, replace=False)) for _ in range(120)]
-    values = [r.standard_normal(6) for _ in rows]
+    ratio, scale = r.standard_normal(40), r.random(120) + 0.5
+    values = [ratio[i] * s for i, s in zip(rows, scale, strict=True)]
     y = np.where(r.random(120) < 0.5, 1.0, -1.0)
     cost = np.full(120, 0.7)
-    w, bias = nbsvm._descend(rows, values, y, cost, 2000, 3)
+    z, bias = nbsvm._descend(rows, ratio, scale, y, cost, 2000, 3)
+    w = z / ratio
     margin = np.array([w[i] @ v + bias for i, v in zip(rows, values, strict=True)])
     norm = w @ w + bias**2
     primal = norm / 2 + (cost * np.maximum(0, 1 - y * margin)).sum()
