@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chosen_path, itq, langid, mixing, nbsvm, quotes, suffix, textbytes, tokens, wrapper
+from quire.llm import chosen_path, itq, langid, mixing, nbsvm, oracles, quotes, suffix, textbytes, tokens, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_language_id, op3_decontamination, op4_embeddings, op5_html_extraction, op6_mixing, op7_token_counts, op8_quality, op9_toxicity, op10_minhash)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
