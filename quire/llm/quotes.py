@@ -33,9 +33,14 @@ def _passages(text: Column) -> Column:
     )
 
 
+def _may_quote() -> Column:
+    """Cheap test that every message with a quotation passes."""
+    return F.coalesce(F.contains("text", F.lit(">")) & F.col("text").rlike(r"(?m)^ {0,3}>"), F.lit(False))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """The messages with ``runs``: array of (level, lines), and ``own``: the lines outside of quotations, without lines that introduce one."""
-    out = messages.withColumn("_lines", _passages(F.coalesce("text", F.lit(""))))
+    out = messages.withColumn("_lines", F.when(F.col("text").isNotNull(), _passages(F.col("text"))))
     out = out.withColumn("_starts", F.expr("filter(sequence(1, size(_lines)), i -> i = 1 or _lines[i - 1].level <> _lines[i - 2].level)"))
     runs = "transform(_starts, (s, k) -> struct(_lines[s - 1].level as level, transform(slice(_lines, s, coalesce(get(_starts, k + 1), size(_lines) + 1) - s), z -> z.line) as lines))"
     out = out.withColumn("runs", F.expr(runs))
@@ -56,12 +61,12 @@ def _units(lines: Column) -> Column:
 
 def linked(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked) of every message that quotes an earlier one of its conversation; rows that share conv_id and turn are one message."""
-    rows = parsed(messages.select("conv_id", "turn", "text").where("conv_id is not null and turn is not null"))
+    rows = messages.select("conv_id", "turn", "text").where("conv_id is not null and turn is not null")
     key = [F.xxhash64("unit").alias("h"), F.xxhash64(F.lit(1), "unit").alias("g")]
-    quoted = rows.where(F.exists("runs", lambda r: r["level"] > 0)).select("conv_id", "turn", F.posexplode(F.filter("runs", lambda r: r["level"] > 0)).alias("k", "run"))
+    quoted = parsed(rows.where(_may_quote())).where(F.exists("runs", lambda r: r["level"] > 0)).select("conv_id", "turn", F.posexplode(F.filter("runs", lambda r: r["level"] > 0)).alias("k", "run"))
     quoted = quoted.select("conv_id", "turn", "k", F.col("run.level").alias("level"), F.explode(_units(F.col("run.lines"))).alias("unit")).select("conv_id", "turn", "k", "level", F.length("unit").alias("n"), *key)
     concerned = quoted.select("conv_id").distinct()
-    said = rows.join(concerned, "conv_id", "left_semi")
+    said = parsed(rows.join(concerned, "conv_id", "left_semi"))
     # a message says its lines, its runs between quotations, its paragraphs, and all it says as one
     parts = F.concat(
         F.array(F.col("own")),
@@ -99,8 +104,10 @@ def reply_threads(messages: DataFrame, scratch: Scratch | None = None) -> DataFr
     scratch = scratch or Scratch(messages.sparkSession)
     replies = scratch.save(linked(messages), "replies")
     chain = replies.join(threads(replies, scratch), ["conv_id", "turn"])
-    rows = parsed(messages.select("conv_id", "turn", "role", "text")).withColumn("n_quotes", F.size(F.filter("runs", lambda r: r["level"] > 0)).cast("long"))
-    body = F.when(F.col("n_quotes") == 0, F.coalesce("text", F.lit(""))).otherwise(F.regexp_replace(F.array_join("own", "\n"), r"^\s+|\s+$", ""))
+    # messages that can't hold a quotation aren't parsed: their arrays are null
+    rows = parsed(messages.select("conv_id", "turn", "role", F.col("text").alias("_all"), F.when(_may_quote(), F.col("text")).alias("text")))
+    rows = rows.withColumn("n_quotes", F.coalesce(F.size(F.filter("runs", lambda r: r["level"] > 0)), F.lit(0)).cast("long"))
+    body = F.when(F.col("n_quotes") == 0, F.coalesce("_all", F.lit(""))).otherwise(F.regexp_replace(F.array_join("own", "\n"), r"^\s+|\s+$", ""))
     return rows.select("conv_id", "turn", "role", "n_quotes", body.alias("body")).join(chain, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body")
 
 
