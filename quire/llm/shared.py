@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,13 +14,19 @@ def folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset (local tests), a temporary folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+        own = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 class Scratch:
-    """Parquet tables in a folder of their own under the shared folder; ``drop`` removes those that aren't needed any more."""
+    """Parquet tables in a folder of their own under the shared folder.
+
+    ``drop`` removes those that aren't needed any more. An operator's result still reads what it hasn't dropped: whoever passes a Scratch removes its ``root``
+    when the result is written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{folder(spark)}/{uuid.uuid4().hex}"
