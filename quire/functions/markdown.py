@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import SPACE, collapsed, lines, nonblank, stripped
+from quire.functions.text import SPACE, bound, collapsed, lines, nonblank, stripped
 
 HEADING = rf"^(#{{1,6}}){SPACE}+(.*)$"
 TABLE_ROW = rf"^{SPACE}*\|.*\|{SPACE}*$"
@@ -34,10 +34,13 @@ def slug(heading: Column) -> Column:
 
 def shifted_headings(text: Column) -> Column:
     """Headings moved up so that the highest is of level 1; text that needs no move stays as it is."""
-    rows = lines(text)
-    top = F.array_min(F.filter(F.transform(rows, heading_level), lambda n: n > 0))
-    move = lambda x: F.when(heading_level(x) > 0, F.concat(F.repeat(F.lit("#"), heading_level(x) - top + 1), F.lit(" "), F.regexp_extract(x, HEADING, 2))).otherwise(x)
-    return F.when(top > 1, F.array_join(F.transform(rows, move), "\n")).otherwise(text)
+    top = F.array_min(F.filter(F.transform(lines(text), heading_level), lambda n: n > 0))
+
+    def moved(own: Column) -> Column:
+        shift = lambda x: F.concat(F.repeat(F.lit("#"), heading_level(x) - own["top"] + 1), F.lit(" "), F.regexp_extract(x, HEADING, 2))
+        return F.array_join(F.transform(own["rows"], lambda x: F.when(heading_level(x) > 0, shift(x)).otherwise(x)), "\n")
+
+    return F.when(top > 1, bound(F.struct(lines(text).alias("rows"), top.alias("top")), moved)).otherwise(text)
 
 
 def table_of_contents(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ MIN_TOKENS = 30
 FLOOR = 0.80
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row. An expression that stands inside a lambda would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines at every Unicode line boundary; a break at the end begins no line."""
     parts = F.split(text, _BREAK)
@@ -69,8 +76,8 @@ def recall(reference: Column, markdown: Column, least: int = MIN_TOKENS) -> Colu
 
     Both are token arrays. Only the tokens that are missing are looked up one by one; they are found by hashing.
     """
-    missing = F.array_except(reference, markdown)
-    hits = F.size(F.filter(reference, lambda t: ~F.array_contains(missing, t)))
+    pair = F.struct(reference.alias("all"), F.array_except(reference, markdown).alias("missing"))
+    hits = bound(pair, lambda p: F.size(F.filter(p["all"], lambda t: ~F.array_contains(p["missing"], t))))
     return F.when(F.size(reference) >= least, hits.cast("double") / F.size(reference))
 
 

@@ -134,19 +134,21 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 
 def assembled(body: Column, contents: bool = True) -> Column:
     """Headings moved up; contents after the first line that begins with one number sign and a space (which they leave out), else at the top; none without headings."""
-    body = M.shifted_headings(body)
-    if not contents:
-        return body
-    title = F.regexp_instr(body, F.lit(r"(?m)^# "))
-    after = F.when(title > 0, title - 1 + F.instr(F.concat(F.substring(body, title, F.length(body)), F.lit("\n")), F.lit("\n")))
-    head, tail = F.substring(body, F.lit(1), after), F.substring(body, after + 1, F.length(body))
-    inner, whole = M.table_of_contents(tail), M.table_of_contents(body)
     label = "## Table of Contents\n\n"
-    return (
-        F.when(title.isNull() | (title == 0), F.when(whole == "", body).otherwise(F.concat(F.lit(label), whole, F.lit("\n\n"), body)))
-        .when(inner == "", body)
-        .otherwise(F.concat(head, F.lit("\n" + label), inner, F.lit("\n"), tail))
-    )
+
+    def cut(own: Column) -> Column:
+        """The text up to its title line and after it; without a title all of it comes after."""
+        title = F.regexp_instr(own, F.lit(r"(?m)^# "))
+        after = F.when(title > 0, title - 1 + F.instr(F.concat(F.substring(own, title, F.length(own)), F.lit("\n")), F.lit("\n"))).otherwise(0)
+        tail = F.substring(own, after + 1, F.length(own))
+        return F.struct(own.alias("whole"), F.substring(own, F.lit(1), after).alias("head"), tail.alias("tail"), M.table_of_contents(tail).alias("toc"), (title > 0).alias("titled"))
+
+    def put(p: Column) -> Column:
+        above, below = F.concat(p["head"], F.lit("\n" + label), p["toc"], F.lit("\n"), p["tail"]), F.concat(F.lit(label), p["toc"], F.lit("\n\n"), p["tail"])
+        return F.when(p["toc"] == "", p["whole"]).when(p["titled"], above).otherwise(below)
+
+    shifted = M.shifted_headings(body)
+    return X.bound(X.bound(shifted, cut), put) if contents else shifted
 
 
 def rolling_context(pages: DataFrame, window: int = 3) -> DataFrame:
