@@ -21,13 +21,13 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts whose language is open."""
-    trees = langid.fit(langid.sample(docs, queries.remainder(4) != 2))
+    trees = langid.learned(docs, queries.remainder(4) != 2)
     return langid.predict(boxed(docs), trees, [BOXED]).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(f"{BOXED}.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that the classifier calls toxic."""
-    model = nbsvm.fit(*nbsvm.sample(docs, queries.table(spark, sf_dir, "labels"), "toxic", queries.remainder(4) != 2), nbsvm.toxicity_grams)
+    model = nbsvm.learned(docs, queries.table(spark, sf_dir, "labels"), "toxic", queries.remainder(4) != 2, nbsvm.toxicity_grams)
     return nbsvm.score(boxed(docs), model, keep=[BOXED]).where("predicted = 0").select(f"{BOXED}.*")
 
 

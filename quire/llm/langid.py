@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
+from quire.llm.shared import fitted
 
 ORDER = 4
 #: Documents that a language's tree is counted on at most, in expectation; they are chosen by a hash of doc_id.
@@ -120,18 +121,26 @@ def fit(texts: dict[str, list[bytes]]) -> Trees:
     return trees
 
 
-def sample(docs: DataFrame, learn: Column, rows: int = FIT_DOCS) -> dict[str, list[bytes]]:
-    """About ``rows`` non-empty texts of each language among the rows that pass ``learn``, chosen by a hash of doc_id."""
+def sample(docs: DataFrame, learn: Column, rows: int = FIT_DOCS) -> DataFrame:
+    """(doc_id, text, lang): about ``rows`` non-empty texts of each language among the rows that pass ``learn``, chosen by a hash of doc_id."""
     own = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {}
+        return own.limit(0)
     bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1.0, rows / n)))])
-    got = own.where((F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < bound[F.col("lang")]) & (F.length("text") > 0)).toArrow()
-    out: dict[str, list[bytes]] = {}
-    for _, text, lang in sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "text", "lang")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
-        out.setdefault(lang, []).append(text.encode())
-    return out
+    return own.where((F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < bound[F.col("lang")]) & (F.length("text") > 0))
+
+
+def _fit_table(table: pa.Table) -> Trees:
+    texts: dict[str, list[bytes]] = {}
+    for _, text, lang in sorted(zip(*(table[c].to_pylist() for c in ("doc_id", "text", "lang")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        texts.setdefault(lang, []).append(text.encode())
+    return fit(texts)
+
+
+def learned(docs: DataFrame, learn: Column, rows: int = FIT_DOCS) -> Trees:
+    """The trees of all languages of the rows that pass ``learn``."""
+    return fitted(sample(docs, learn, rows), _fit_table)
 
 
 def predict(docs: DataFrame, trees: Trees, keep: list | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
+from quire.llm.shared import fitted
 
 BITS = 18
 #: Labelled rows that a fit uses at most, in expectation; they are chosen by a hash of doc_id.
@@ -206,8 +207,8 @@ def fit(texts: list[bytes], labels: list[int], grams: Callable, *, smoothing: fl
     return Model(grams, w.astype(np.float32), bias, slope, shift)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = FIT_ROWS) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of about ``rows`` labelled rows whose doc_id passes ``learn``, chosen by a hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, text, _y): about ``rows`` labelled rows whose doc_id passes ``learn``, chosen by a hash of doc_id.
 
     A doc_id with two labels, and null ids, texts or labels, are left out.
     """
@@ -215,9 +216,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     total = own.count()
     share = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, total)))
     few = own.where(share)
-    got = docs.select("doc_id", "text").where(learn & share & F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("doc_id", "text", "_y").toArrow()
-    order = sorted(range(len(got)), key=lambda i: (got["doc_id"][i].as_py(), got["text"][i].as_py()))
-    return [got["text"][i].as_py().encode() for i in order], [got["_y"][i].as_py() for i in order]
+    return docs.select("doc_id", "text").where(learn & share & F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("doc_id", "text", "_y")
+
+
+def learned(docs: DataFrame, labels: DataFrame, label: str, learn: Column, grams: Callable, rows: int = FIT_ROWS) -> Model:
+    """The model of a label, fitted on a sample."""
+
+    def fit_table(table: pa.Table) -> Model:
+        held = sorted(zip(*(table[c].to_pylist() for c in ("doc_id", "text", "_y")), strict=True))
+        return fit([t.encode() for _, t, _ in held], [y for _, _, y in held], grams)
+
+    return fitted(sample(docs, labels, label, learn, rows), fit_table)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trees = langid.fit(langid.sample(docs, remainder(4) != 2))
+    trees = langid.learned(docs, remainder(4) != 2)
     return langid.predict(docs, trees).select("doc_id", held_out(4, 2), "lang_pred", "score", "bits_per_byte")
 
 
@@ -54,13 +54,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = nbsvm.fit(*nbsvm.sample(docs, table(spark, sf_dir, "labels"), "quality", remainder(5) != 0), nbsvm.quality_grams)
+    model = nbsvm.learned(docs, table(spark, sf_dir, "labels"), "quality", remainder(5) != 0, nbsvm.quality_grams)
     return nbsvm.score(docs, model).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = nbsvm.fit(*nbsvm.sample(docs, table(spark, sf_dir, "labels"), "toxic", remainder(4) != 2), nbsvm.toxicity_grams)
+    model = nbsvm.learned(docs, table(spark, sf_dir, "labels"), "toxic", remainder(4) != 2, nbsvm.toxicity_grams)
     return nbsvm.score(docs, model).select("doc_id", held_out(4, 2), "score", "predicted")
 
 

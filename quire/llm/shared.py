@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,6 +26,19 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """Runs ``fit`` over a bounded sample in one task and brings its result alone to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else empty
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+
+    empty = to_arrow_schema(rows.schema).empty_table()
+    got = rows.repartition(1).mapInArrow(work, "model binary").first()
+    return pickle.loads(got["model"]) if got else fit(empty)
+
+
 class Scratch:
     """Parquet tables in a folder of their own under the shared folder.
 

@@ -60,7 +60,7 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def test_predictions(spark):
     rows = corpus()
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as score", "2 as lang_pred")
-    trees = langid.fit(langid.sample(frame, F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    trees = langid.learned(frame, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     got = langid.predict(frame, trees).collect()
     assert len(got) == len(rows)
     by_id = {g.doc_id: g for g in got}
@@ -73,9 +73,9 @@ def test_predictions(spark):
 def test_empty_tables(spark):
     frame = spark.createDataFrame(corpus(), SCHEMA)
     learn = F.lit(True)
-    nothing = langid.fit(langid.sample(frame.limit(0), learn))
+    nothing = langid.learned(frame.limit(0), learn)
     assert {r.lang_pred for r in langid.predict(frame, nothing).collect()} == {"und"}
-    assert langid.predict(frame.limit(0), langid.fit(langid.sample(frame, learn))).count() == 0
+    assert langid.predict(frame.limit(0), langid.learned(frame, learn)).count() == 0
 
 
 def test_ties_take_the_first_name():

@@ -50,7 +50,7 @@ def test_held_out_accuracy(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "rotten"), (None, "vile vile"), (903, "tha onre " * 20000), (5, "x"), (5, "x")], "doc_id long, text string").selectExpr("*", "0 as score", "1 as predicted")
     labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows] + [(None, 0, 1), (7000, 0, None), (900, 0, 1)], "doc_id long, quality int, toxic int")
     learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
-    model = nbsvm.fit(*nbsvm.sample(docs, labels, "toxic", learn), nbsvm.toxicity_grams)
+    model = nbsvm.learned(docs, labels, "toxic", learn, nbsvm.toxicity_grams)
     got = {r.doc_id: r for r in nbsvm.score(docs, model).collect()}
     assert len(got) == 300 + 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
     hits = [got[i].predicted == y for i, _, y in rows if i != 5]
@@ -61,7 +61,7 @@ def test_one_class_or_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0)):
-        model = nbsvm.fit(*nbsvm.sample(docs, some, "quality", F.lit(True)), nbsvm.quality_grams)
+        model = nbsvm.learned(docs, some, "quality", F.lit(True), nbsvm.quality_grams)
         scores = {r.score for r in nbsvm.score(docs, model).collect()}
         assert len(scores) == 1 and 0 < scores.pop() < 1
     assert nbsvm.score(docs.limit(0), model).count() == 0
