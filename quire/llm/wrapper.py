@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 SAMPLE, SAMPLE_CHARS = 5, 200_000
 #: Trees of a wrapper, and wrappers that a worker keeps.
 TREES, KEPT = 2, 1024
+#: Levels of a tree.
+DEEPEST = 150
 BROADCAST_BYTES = 32 << 20
 #: Children of one node that are aligned by dynamic programming; longer lists align in order from both ends.
 ALIGNED = 64
@@ -71,7 +73,7 @@ class Node:
 #: Comments; tags, with quoted values that may hold ">"; tags whose quotes don't close; other declarations.
 _MARKUP = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 
 
 class _Builder:
@@ -103,7 +105,9 @@ class _Builder:
                 label += " hidden"
         node = Node(tag, label)
         self.stack[-1].parts.append(node)
-        if tag not in VOID and not (attributes.endswith("/") and tag in _FOREIGN):
+        # below DEEPEST an element's content goes to its parent, below twice that even if it is none of the article
+        deep = len(self.stack) > DEEPEST and (len(self.stack) > 2 * DEEPEST or not node.never_content())
+        if tag not in VOID and not deep and not (attributes.endswith("/") and tag in _FOREIGN):
             self.stack.append(node)
 
     def end(self, tag: str) -> None:
@@ -129,9 +133,13 @@ class _Builder:
                 self.end(tag)
                 continue
             self.start(tag, m[3] or m[6] or "")
-            if tag in _RAW:
+            if tag in _RAW:  # text that isn't markup; none of it is content
                 close = _RAW[tag].search(html, at)
                 at = close.start() if close else len(html)
+                close = _MARKUP.match(html, at)
+                if close:
+                    self.end(tag)
+                    at = close.end()
 
 
 #: Elements that a template drops whole; constant words within a sentence and single items of a varying list or table stay.

@@ -53,5 +53,7 @@ def test_query_over_hosts(spark, monkeypatch):
 def test_long_page():
     html = "<article>" + "".join(f"<p>paragraph {k}" for k in range(20000)) + "</article>"
     assert wrapper.extract(html, None).count("\n\n") == 19999
-    deep = "<article>" + "<div>" * 400 + "x" + "</div>" * 400
-    assert wrapper.extract(deep, None) == "x"
+    for n in (100, 400, 50_000):
+        deep = "<article>" + "<div>" * n + "x<script>a<b</script>" + "</div>" * n + "<p>y"
+        assert wrapper.extract(deep, None) == "x\n\ny"
+        wrapper.Wrapper([f"<nav class=menu>{'<b><nav>' * n}{k}" for k in range(3)]).template(wrapper.parse(deep))
