@@ -34,4 +34,32 @@ links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id
 {_REACH}
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN parts ON parts.id = d.doc_id"""
 
-ORACLES = {"op3_decontamination": DECONTAMINATION, "op4_embeddings": EMBEDDINGS, "op10_minhash": MINHASH}
+_NORMAL = "lower(trim(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+_INTRODUCES = "(?i)(wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe)\\s*:\\s*$"
+
+QUOTATIONS = f"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text FROM conversations),
+cut AS (SELECT r, conv_id, turn, string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n') AS ls FROM m),
+ln AS (SELECT r, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM cut),
+lv AS (SELECT r, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^( {{0,3}}>)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^( {{0,3}}>)+ ?', '') AS line FROM ln),
+nb AS (SELECT *, lag(level) OVER (PARTITION BY r ORDER BY pos) AS prev, coalesce(lead(level) OVER (PARTITION BY r ORDER BY pos), 0) AS nxt FROM lv),
+g AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS run FROM nb),
+own AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[ \\t]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS para FROM g WHERE level = 0 AND NOT (nxt > 0 AND regexp_matches(line, '{_INTRODUCES}'))),
+runs AS (SELECT r, conv_id, turn, run, level, string_agg(line, ' ' ORDER BY pos) AS line FROM g GROUP BY ALL),
+quoted AS (SELECT conv_id, turn, r, run, level, {_NORMAL.format('line')} AS u FROM g WHERE level > 0 UNION SELECT conv_id, turn, r, run, level, {_NORMAL.format('line')} FROM runs WHERE level > 0),
+said AS (SELECT conv_id, turn, {_NORMAL.format('line')} AS u FROM g WHERE level = 0 UNION SELECT conv_id, turn, {_NORMAL.format('line')} FROM runs WHERE level = 0
+    UNION SELECT conv_id, turn, {_NORMAL.format("string_agg(line, ' ' ORDER BY pos)")} FROM own GROUP BY r, conv_id, turn
+    UNION SELECT conv_id, turn, {_NORMAL.format("string_agg(line, ' ' ORDER BY pos)")} FROM own GROUP BY r, conv_id, turn, para),
+origin AS (SELECT conv_id, u, min(turn) AS origin FROM said WHERE u <> '' GROUP BY ALL),
+found AS (SELECT q.conv_id, q.turn, r, run, level, length(q.u) AS n, origin FROM quoted q JOIN origin o ON o.conv_id = q.conv_id AND o.u = q.u WHERE origin < q.turn),
+votes AS (SELECT conv_id, turn, level, origin, sum(n) AS w FROM found GROUP BY ALL),
+replies AS (SELECT conv_id, turn, origin AS reply_to FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, w DESC, origin DESC) = 1),
+chain AS (SELECT conv_id, turn, reply_to AS thread, 1::BIGINT AS depth FROM replies UNION ALL SELECT c.conv_id, c.turn, p.reply_to, c.depth + 1 FROM chain c JOIN replies p ON p.conv_id = c.conv_id AND p.turn = c.thread),
+roots AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM chain GROUP BY ALL),
+linked AS (SELECT conv_id, turn, count(DISTINCT run) AS n_linked FROM found GROUP BY ALL),
+nq AS (SELECT r, count(*) AS n_quotes FROM runs WHERE level > 0 GROUP BY r),
+bodies AS (SELECT r, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS body FROM own GROUP BY r)
+SELECT m.conv_id, m.turn, role, reply_to, coalesce(thread, m.turn) AS thread, coalesce(depth, 0)::BIGINT AS depth, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
+CASE WHEN n_quotes IS NULL THEN coalesce(text, '') ELSE coalesce(body, '') END AS body
+FROM m LEFT JOIN replies USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn) LEFT JOIN linked USING (conv_id, turn) LEFT JOIN nq USING (r) LEFT JOIN bodies USING (r)"""
+
+ORACLES = {"op1_quotation_linking": QUOTATIONS, "op3_decontamination": DECONTAMINATION, "op4_embeddings": EMBEDDINGS, "op10_minhash": MINHASH}

@@ -96,6 +96,20 @@ def test_against_brute_force(spark):
     assert sum(w[3] is not None for w in want) > 15 and max(w[5] for w in want) >= 2
 
 
+def test_sql_agrees():
+    import duckdb
+    import pyarrow as pa
+
+    from quire.llm.oracles import QUOTATIONS
+
+    rows = corpus(5)
+    con = duckdb.connect()
+    con.register("conversations", pa.table({n: [r[i] for r in rows] for i, n in enumerate(("conv_id", "turn", "role", "text"))}))
+    got = con.execute(QUOTATIONS)
+    at = [[d[0] for d in got.description].index(c) for c in ("conv_id", "turn", "role", "reply_to", "thread", "depth", "n_quotes", "n_linked", "body")]
+    assert sorted((tuple(r[i] for i in at) for r in got.fetchall()), key=lambda x: x[:2]) == sorted(brute(rows), key=lambda x: x[:2])
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, 1, "user", "> a"), (1, None, "user", "> a"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 2, "user", "> A."), (1, 2, "user", "> A.")]
     frame = spark.createDataFrame(rows, SCHEMA)
