@@ -33,6 +33,9 @@ ALIGNED = 64
 #: Share of the other sample pages that must repeat a node at its place, and their least number.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 2
 
+#: Shares of a page's text above which a form, or an element whose label names another region, is the page's body.
+BULK_FORM, BULK = 0.5, 0.9
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never hold the article.
@@ -41,7 +44,14 @@ _CLOSES_P = BLOCKS - {"html", "body"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_LABELS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget\w*|related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notice\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|comments?|respond|replies|disqus|pagination|pager|skip\w*|toolbar|copyright|legal|disclaimer|hidden)(?=$|[\s_-])", re.I)
+#: Words that name a region, and words that only say where or how it stands.
+_REGION = r"ads?|advert(?:s|isements?|ising)?|adsense|banner|sponsor(?:s|ed)?|promos?|promotions?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|related|recommend(?:ed|ations?)|share|sharing|social|cookies?|consent|gdpr|newsletter|subscri(?:be|ptions?)|sign-?up|log-?in|popup|modal|overlay|comments?|respond|replies|disqus|pagination|pager|toolbar|copyright|disclaimer|hidden"
+_PLACE = r"site|page|global|main|top|bottom|left|right|primary|secondary|mobile|user|google|cookie|legal|privacy|social|share|ad|nav|menu|footer|sidebar|comments?|newsletter|related"
+_PART = r"bar|box|block|area|wrap|wrapper|container|section|list|links?|buttons?|icons?|inner|notice|message|posts?|articles?|stories|items?|slot|unit|form|thread|popup|modal|banner|menu|nav"
+#: A whole class or id that names such a region; "no-sidebar", "has-menu", "overflow-hidden" or "entry-header" name none.
+_LABEL = re.compile(rf"(?:(?:{_PLACE})[_-])?(?:{_REGION})(?:[_-](?:{_PART}))?(?:[_-]?\d+)?|skip-(?:links?|nav|to-content)", re.I)
+#: A class or id that names the article beside another one.
+_BODY = re.compile(r"(?:(?:post|entry|article|story|page|main|site)[_-])?(?:content|body)|article|story|post|entry|hentry", re.I)
 
 
 class Node:
@@ -66,10 +76,15 @@ class Node:
 
     def never_content(self) -> bool:
         if self._never is None:
-            self._never = self.tag in DROPPED or bool(self.label) and bool(_LABELS.search(self.label)) and self.tag not in ("html", "body", "article", "main")
+            self._never = self.tag in DROPPED or bool(self.label) and _names_region(self.label) and self.tag not in ("html", "body", "article", "main")
         return self._never
 
 
+def _names_region(label: str) -> bool:
+    tokens = label.split()
+    return any(map(_LABEL.fullmatch, tokens)) and not any(map(_BODY.fullmatch, tokens))
+
+
 #: Comments; tags, with quoted values that may hold ">"; tags whose quotes don't close; other declarations.
 _MARKUP = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -153,9 +168,50 @@ _FOREIGN = frozenset("svg path circle rect use line polygon polyline ellipse g".
 def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
+    _release(builder.root)
     return builder.root
 
 
+def _release(root: Node) -> None:
+    """Keeps what is dropped by a label, or as a form, but holds the page's article or main elements, or most of its text."""
+    judged, kept, letters = [], False, 0  # nodes to judge; whether an article or main stands outside of them; text outside
+    wait = [root]
+    while wait:
+        node = wait.pop()
+        if node.never_content():
+            if node.tag == "form" or node.tag not in DROPPED:
+                judged.append(node)
+            continue
+        kept = kept or node.tag in ("article", "main")
+        for p in node.parts:
+            if p.__class__ is Node:
+                wait.append(p)
+            else:
+                letters += len(p.strip())
+    if not judged:
+        return
+    held = [_held_text(n) for n in judged]
+    whole = letters + sum(n for n, _ in held)
+    freed = [n for n, (size, article) in zip(judged, held, strict=True) if article and not kept or size > (BULK_FORM if n.tag == "form" else BULK) * whole]
+    for node in freed:
+        node._never = False
+    if freed:
+        _release(root)  # what they hold is judged now
+
+
+def _held_text(node: Node) -> tuple[int, bool]:
+    """Letters below a node outside of elements that never hold the article, and whether an article or main element is there."""
+    size, article, wait = 0, False, [node]
+    while wait:
+        for p in wait.pop().parts:
+            if p.__class__ is not Node:
+                size += len(p.strip())
+            elif not p.never_content() or p.tag == "form":
+                article = article or p.tag in ("article", "main")
+                wait.append(p)
+    return size, article
+
+
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of nodes of the largest simple tree matching: roots of equal tag, children in order, level by level. What can't be content isn't looked into, nor what has no constant in ``b``."""
     if a.tag != b.tag:

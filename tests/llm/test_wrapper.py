@@ -57,3 +57,17 @@ def test_long_page():
         deep = "<article>" + "<div>" * n + "x<script>a<b</script>" + "</div>" * n + "<p>y"
         assert wrapper.extract(deep, None) == "x\n\ny"
         wrapper.Wrapper([f"<nav class=menu>{'<b><nav>' * n}{k}" for k in range(3)]).template(wrapper.parse(deep))
+
+
+def test_labels_name_regions_by_whole_tokens():
+    body = "<article><div class='entry-header'><h1>Title</h1></div><p>Body of it.</p></article>"
+    want = "Title\n\nBody of it."
+    for label in ("site no-sidebar", "page has-sidebar", "overflow-hidden", "layout-side-by-side", "post-content legal", "related-work", "sidebar"):
+        assert wrapper.extract(f"<body><nav>n</nav><div class='{label}'>{body}</div></body>", None) == want
+    assert wrapper.extract(f"<body><form id=aspnet>{body}</form></body>", None) == want
+    assert wrapper.extract("<body><form><nav>n</nav><div><p>All of the page stands in a form.</p></div></form></body>", None) == "All of the page stands in a form."
+    assert wrapper.extract("<div class='post-content legal'><p>Words.</p></div><div class='site-header'>Site</div>", None) == "Words."
+    cards = "<div class='comments-area'><article><p>A comment, longer than all of the body is, by far.</p></article></div>"
+    assert wrapper.extract(f"<div>{body}</div>{cards}", None) == want
+    for label in ("sidebar", "site-footer", "cookie-notice", "nav-menu", "related-posts", "ad ad-slot", "ad-1", "breadcrumb", "comments-area"):
+        assert wrapper.extract(f"<div><p>{'Words of the page. ' * 5}</p></div><div class='{label}'>x y</div>", None) == " ".join(["Words of the page."] * 5)
