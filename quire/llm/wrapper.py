@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-For every host a few pages (the least by a hash) are parsed to DOM trees and aligned pairwise by simple tree matching (Yang, 1991). A node
-that stands at the same place with the same text in several of them, although the pages differ, is a constant: part of the
-host's template. The wrapper of a host is its sample trees with the votes of their nodes. A page is extracted by aligning it with its host's
-trees: what matches a constant is template, what falls into a varying slot is content, unless the slot itself is of
+The DOM trees of a host's pages are laid over each other: an element is known by its place (the block elements above it and its own class and id)
+and its text. What most pages with different text repeat at the same place, of the host or of one layout (equal containers and language), is a constant: part of the
+template. So is what a smaller share of the host's pages repeats, outside of article elements, unless it is the larger part of a page's remaining text: then it may be an article
+that the host shows several times. Pages of equal text count once. What falls into a varying slot is content, unless the slot itself is of
 a kind that never holds the article (navigation, header, footer, sidebar, notice, advert, form, script, style, comments).
 
 Wrappers are small: ``SAMPLE`` pages a host. They are broadcast if their measured size is within ``BROADCAST_BYTES``, else joined to the pages by host.
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -23,16 +25,13 @@ from pyspark.sql import types as T
 
 #: Pages of a host that its wrapper is induced from; characters of each that are read for it.
 SAMPLE, SAMPLE_CHARS = 5, 200_000
-#: Trees of a wrapper, and wrappers that a worker keeps.
-TREES, KEPT = 2, 1024
+#: Wrappers that a worker keeps.
+KEPT = 1024
 #: Levels of a tree.
 DEEPEST = 150
 BROADCAST_BYTES = 32 << 20
-#: Children of one node that are aligned by dynamic programming; longer lists align in order from both ends.
-ALIGNED = 64
-#: Share of the other sample pages that must repeat a node at its place, and their least number.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 2
-
+#: Share of the pages of a host or layout that must repeat an element at its place, share that makes it a weak constant, and their least number besides the page itself.
+CONSTANT_SHARE, WEAK_SHARE, CONSTANT_PAGES = 0.6, 0.1, 2
 #: Shares of a page's text above which a form, or an element whose label names another region, is the page's body.
 BULK_FORM, BULK = 0.5, 0.9
 
@@ -55,25 +54,17 @@ _BODY = re.compile(r"(?:(?:post|entry|article|story|page|main|site)[_-])?(?:cont
 
 
 class Node:
-    __slots__ = ("tag", "label", "parts", "votes", "useful", "_text", "_never")
+    __slots__ = ("tag", "label", "parts", "_never")
 
     def __init__(self, tag: str, label: str = ""):
         self.tag, self.label = tag, label
         self.parts: list = []  # nodes and strings in order
-        self.votes = 0
-        self.useful = True  # whether a constant may stand here or below
-        self._text = self._never = None
+        self._never = None
 
     @property
     def children(self) -> list[Node]:
         return [p for p in self.parts if p.__class__ is Node]
 
-    def text(self) -> str:
-        """All text below, white space collapsed."""
-        if self._text is None:
-            self._text = " ".join(" ".join(p.text() if p.__class__ is Node else p for p in self.parts).split())
-        return self._text
-
     def never_content(self) -> bool:
         if self._never is None:
             self._never = self.tag in DROPPED or bool(self.label) and _names_region(self.label) and self.tag not in ("html", "body", "article", "main")
@@ -116,6 +107,8 @@ class _Builder:
         if "=" in attributes or "hidden" in attributes:
             own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             label = " ".join(filter(None, (own.get("class"), own.get("id"))))
+            if tag == "html":
+                label = own.get("lang", "").lower()
             if own.get("role", "").lower() in _ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
                 label += " hidden"
         node = Node(tag, label)
@@ -159,6 +152,10 @@ class _Builder:
 
 #: Elements that a template drops whole; constant words within a sentence and single items of a varying list or table stay.
 _WHOLE = BLOCKS - frozenset("html body li dd dt td th tr".split())
+#: Elements whose places make a layout, and levels of them.
+_CONTAINERS = frozenset("html body div section main article center table".split())
+LAYOUT_LEVELS = 6
+_DIGITS = re.compile(r"\d+")
 _P, _NOTHING = frozenset({"p"}), frozenset()
 _P_SCOPE = BLOCKS - _P
 _INLINE_SCOPE = frozenset("td th table article section main body".split())
@@ -212,114 +209,122 @@ def _held_text(node: Node) -> tuple[int, bool]:
     return size, article
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of nodes of the largest simple tree matching: roots of equal tag, children in order, level by level. What can't be content isn't looked into, nor what has no constant in ``b``."""
-    if a.tag != b.tag:
-        return []
-    out, wait = [], [(a, b)]
-    while wait:
-        a, b = wait.pop()
-        out.append((a, b))
-        if b.useful and not a.never_content():
-            x, y = a.children, b.children
-            if any(c.useful for c in y):
-                wait += _children(x, y)
-    return out
+def _hash(*parts: bytes) -> bytes:
+    return blake2b(b"\0".join(parts), digest_size=8).digest()
 
 
-def _weight(a: Node, b: Node, depth: int = 2) -> float:
-    """Size of the matching of two nodes, looked at ``depth`` levels down; equal texts and labels count more."""
-    if a.tag != b.tag:
-        return 0.0
-    own = 1.0 + (a.label == b.label) + (a.text() == b.text() != "")
-    if depth and a.tag != "p" and (x := a.children) and (y := b.children):
-        own += sum(_weight(c, d, depth - 1) for c, d in zip(x[:8], y[:8], strict=False))
-    return own
-
-
-def _children(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-    if not x or not y:
-        return []
-    head, tail = [], []
-    while x and y and x[0].tag == y[0].tag and (x[0].label == y[0].label) and (x[0].tag != "p" or x[0].text() == y[0].text()):
-        head.append((x[0], y[0]))
-        x, y = x[1:], y[1:]
-    while x and y and x[-1].tag == y[-1].tag and x[-1].label == y[-1].label and (x[-1].tag != "p" or x[-1].text() == y[-1].text()):
-        tail.append((x[-1], y[-1]))
-        x, y = x[:-1], y[:-1]
-    if not x or not y:
-        return head + tail
-    if len(x) > ALIGNED or len(y) > ALIGNED:
-        return head + [(c, d) for c, d in zip(x, y, strict=False) if c.tag == d.tag] + tail
-    best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    gain = [[_weight(c, d) for d in y] for c in x]
-    for i in range(1, len(x) + 1):
-        up, row, own = best[i - 1], best[i], gain[i - 1]
-        for j in range(1, len(y) + 1):
-            m = up[j - 1] + own[j - 1]
-            row[j] = m if m >= up[j] and m >= row[j - 1] else max(up[j], row[j - 1])
-    i, j, found = len(x), len(y), []
-    while i and j:
-        if gain[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + gain[i - 1][j - 1]:
-            found.append((x[i - 1], y[j - 1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return head + found + tail
-
-
-def _article_texts(node: Node, out: set[str]) -> set[str]:
-    """Texts of the nodes that hold text themselves and could be content."""
-    for p in node.parts:
-        if p.__class__ is Node:
-            if not p.never_content():
-                _article_texts(p, out)
-        elif node.text() not in out and not p.isspace():
-            out.add(node.text())
-    return out
+class Survey:
+    """A page's elements by place and text: ``marks`` (element, key, letters, whether it stands in an article), the hash of all its text and of its layout."""
+
+    def __init__(self, root: Node):
+        self.marks: list[tuple[Node, int, int, bool]] = []
+        self._containers: set[bytes] = set()
+        whole, self.letters = self._walk(root, b"", 0, False)
+        self.text = int.from_bytes(whole or b"", "big", signed=True)
+        # 0 stands for the host
+        self.layout = int.from_bytes(_hash(*sorted(self._containers)), "big", signed=True) or 1
+
+    def _walk(self, block: Node, path: bytes, depth: int, article: bool) -> tuple[bytes | None, int]:
+        """Hash of the text of a block element and its letters; None without text."""
+        units, run, letters = [], [], 0
+
+        def close() -> None:
+            nonlocal letters
+            text = " ".join("".join(run).split())
+            run.clear()
+            if text:
+                units.append(_hash(text.encode("utf-8", "replace")))
+                letters += len(text)
+
+        def add(node: Node) -> None:
+            nonlocal letters
+            for p in node.parts:
+                if p.__class__ is not Node:
+                    run.append(p)
+                elif p.tag == "br":
+                    run.append(" ")
+                elif p.tag not in BLOCKS:
+                    if not p.never_content():
+                        add(p)
+                else:
+                    close()
+                    if not p.never_content():
+                        below, size = self._walk(p, here, depth + 1, inside)
+                        if below:
+                            units.append(below)
+                            letters += size
+
+        label = _DIGITS.sub("0", block.label).encode("utf-8", "replace")
+        here = path if block.tag in ("#root", "html", "body") else _hash(path, block.tag.encode("utf-8", "replace"))
+        inside = article or block.tag == "article"
+        if block.tag in _CONTAINERS and depth <= LAYOUT_LEVELS and not article:
+            self._containers.add(_hash(here, label if block.tag != "body" else b""))
+        add(block)
+        close()
+        if not units:
+            return None, 0
+        whole = _hash(*units)
+        if block.tag in _WHOLE:
+            self.marks.append((block, int.from_bytes(_hash(here, label, whole), "big", signed=True), letters, article))
+        return whole, letters
+
+    def keys(self) -> list[int]:
+        return sorted({m[1] for m in self.marks})
 
 
 class Wrapper:
-    """Up to ``TREES`` sample trees of a host; ``votes`` of a node are the other sample pages that repeat it at its place."""
+    """The constants of a host: strict and weak ones of the whole host (0) and of each layout."""
 
     def __init__(self, pages: list[str]):
-        trees = [parse(p) for p in pages]
-        bodies = [_article_texts(t, set()) for t in trees]
-        self.trees: list[tuple[Node, set[str]]] = []
-        for i, a in enumerate(trees):
-            voters = 0
-            for j, b in enumerate(trees):
-                if i != j and not _copies(bodies[i], bodies[j]):  # copies of one article say nothing of the template
-                    voters += 1
-                    for x, y in align(a, b):
-                        x.votes += x.text() == y.text() != ""
-            if voters >= CONSTANT_PAGES:
-                self._settle(a, max(CONSTANT_PAGES, CONSTANT_SHARE * voters))
-                self.trees.append((a, bodies[i]))
-                trees[i] = parse(pages[i])  # the votes prune what others may still have to align with
-                if len(self.trees) == TREES:
-                    break
-
-    def _settle(self, node: Node, least: float) -> bool:
-        below = [self._settle(c, least) for c in node.children]
-        node.votes = int(node.votes >= least and node.tag in _WHOLE)
-        node.useful = not node.never_content() and (bool(node.votes) or any(below))
-        return node.useful
+        surveys = {(own := Survey(parse(p))).text: own for p in reversed(pages)}  # pages of equal text say nothing of the template
+        counts: Counter[tuple[int, int | None]] = Counter()
+        for own in surveys.values():
+            for group in (0, own.layout):
+                counts[group, None] += 1
+                counts.update((group, k) for k in own.keys())
+        self.constants: dict[int, tuple[set[int], set[int]]] = {}
+        for (group, key), n in counts.items():
+            if key is not None and n > CONSTANT_PAGES:
+                strict, weak = self.constants.setdefault(group, (set(), set()))
+                if n >= CONSTANT_SHARE * counts[group, None]:
+                    strict.add(key)
+                elif group == 0 and n >= WEAK_SHARE * counts[group, None]:
+                    weak.add(key)
+
+    @classmethod
+    def of(cls, constants: dict[int, tuple[Iterable[int], Iterable[int]]]) -> Wrapper:
+        own = cls([])
+        own.constants = {group: (set(strict), set(weak)) for group, (strict, weak) in constants.items()}
+        return own
 
     def template(self, page: Node) -> set[int]:
         """Identities of the page's nodes that are constants of the host."""
-        body = _article_texts(page, set()) if self.trees else set()
-        for tree, other in self.trees:
-            if not _copies(body, other):
-                return {id(x) for x, y in align(page, tree) if y.votes and x.text() == y.text()} if tree.useful else set()
-        return set()
-
-
-def _copies(a: set[str], b: set[str]) -> bool:
-    """Whether two pages share half of the smaller one's text or more."""
-    return 2 * sum(map(len, a & b)) >= max(1, min(sum(map(len, a)), sum(map(len, b))))
+        if not self.constants:
+            return set()
+        own = Survey(page)
+        host, weak = self.constants.get(0, ((), ()))
+        layout, _ = self.constants.get(own.layout, ((), ()))
+        strict = {id(m[0]) for m in own.marks if m[1] in host or m[1] in layout}
+        also = {id(m[0]) for m in own.marks if m[1] in weak and not m[3]} - strict
+        if also:
+            size = {id(m[0]): m[2] for m in own.marks}
+            sure = sum(size[k] for k in _topmost(page, strict))
+            repeated = sum(size[k] for k in _topmost(page, strict | also)) - sure
+            if 2 * repeated < own.letters - sure:
+                return strict | also
+        return strict
+
+
+def _topmost(node: Node, marked: set[int]) -> set[int]:
+    """Those of the marked elements that stand in no other one."""
+    out, wait = set(), [node]
+    while wait:
+        for c in wait.pop().children:
+            if id(c) in marked:
+                out.add(id(c))
+            elif not c.never_content():
+                wait.append(c)
+    return out
 
 
 def _blocks(node: Node, template: set[int], out: list[str], run: list[str]) -> None:

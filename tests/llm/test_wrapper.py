@@ -71,3 +71,23 @@ def test_labels_name_regions_by_whole_tokens():
     assert wrapper.extract(f"<div>{body}</div>{cards}", None) == want
     for label in ("sidebar", "site-footer", "cookie-notice", "nav-menu", "related-posts", "ad ad-slot", "ad-1", "breadcrumb", "comments-area"):
         assert wrapper.extract(f"<div><p>{'Words of the page. ' * 5}</p></div><div class='{label}'>x y</div>", None) == " ".join(["Words of the page."] * 5)
+
+
+def test_long_boilerplate_and_short_articles():
+    boiler = "".join(f"<p>Sentence {w} of a long text that stands on every page of the host.</p>" for w in "abcdefgh")
+    html = "<body><div>{}</div><div><h2>Title {}</h2><p>Short {}.</p></div></body>"
+    own = wrapper.Wrapper([html.format(boiler, k, k) for k in range(5)])
+    assert wrapper.extract(html.format(boiler, 9, 9), own) == "Title 9\n\nShort 9."
+    assert wrapper.extract(f"<body><div>{boiler}</div></body>", own) == ""
+
+
+def test_layouts_and_repeated_articles():
+    def layout(name, k):
+        return f"<body><div class={name}><p>Template of layout {name}, on all pages of it.</p></div><div class=b{name}><p>Story {k} of layout {name}, which is told but once.</p><p>More of story {k}.</p></div></body>"
+
+    own = wrapper.Wrapper([layout("x", k) for k in range(6)] + [layout("y", k) for k in range(4)])
+    for name in "xy":
+        assert wrapper.extract(layout(name, 20), own) == f"Story 20 of layout {name}, which is told but once.\n\nMore of story 20."
+    same = "".join(f"<p>Paragraph {k} of an article that stands on several pages.</p>" for k in range(6))
+    pages = [f"<body><p>Top.</p><div><p>Own text of page {k}.</p></div></body>" for k in range(20)] + [f"<body><p>Top.</p><div>{same}<p>Edition {k}</p></div></body>" for k in range(5)]
+    assert wrapper.extract(pages[-1], wrapper.Wrapper(pages)).count("an article that stands") == 6
