@@ -6,25 +6,25 @@ template. So is what a smaller share of the host's pages repeats, outside of art
 that the host shows several times. Pages of equal text count once. What falls into a varying slot is content, unless the slot itself is of
 a kind that never holds the article (navigation, header, footer, sidebar, notice, advert, form, script, style, comments).
 
-Wrappers are small: ``SAMPLE`` pages a host. They are broadcast if their measured size is within ``BROADCAST_BYTES``, else joined to the pages by host.
+All pages of a host are counted, whole. Wrappers are small, 8 bytes a constant: they are broadcast if their measured size is within ``BROADCAST_BYTES``, else joined to the pages by
+host and layout.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pages of a host that its wrapper is induced from; characters of each that are read for it.
-SAMPLE, SAMPLE_CHARS = 5, 200_000
 #: Wrappers that a worker keeps.
 KEPT = 1024
 #: Levels of a tree.
@@ -272,30 +272,29 @@ class Survey:
         return sorted({m[1] for m in self.marks})
 
 
+def _constants(surveys: list[Survey]) -> dict[int, tuple[list[int], list[int]]]:
+    """``constants_of`` for the pages of one host."""
+    counts: Counter[tuple[int, int | None]] = Counter()
+    for own in {s.text: s for s in surveys}.values():
+        for group in (0, own.layout):
+            counts.update((group, k) for k in (None, *own.keys()))
+    out: dict[int, tuple[list[int], list[int]]] = {}
+    for (group, key), n in counts.items():
+        if key is not None and n > CONSTANT_PAGES:
+            share = n / counts[group, None]
+            if share >= CONSTANT_SHARE or group == 0 and share >= WEAK_SHARE:
+                out.setdefault(group, ([], []))[share < CONSTANT_SHARE].append(key)
+    return out
+
+
 class Wrapper:
     """The constants of a host: strict and weak ones of the whole host (0) and of each layout."""
 
-    def __init__(self, pages: list[str]):
-        surveys = {(own := Survey(parse(p))).text: own for p in reversed(pages)}  # pages of equal text say nothing of the template
-        counts: Counter[tuple[int, int | None]] = Counter()
-        for own in surveys.values():
-            for group in (0, own.layout):
-                counts[group, None] += 1
-                counts.update((group, k) for k in own.keys())
-        self.constants: dict[int, tuple[set[int], set[int]]] = {}
-        for (group, key), n in counts.items():
-            if key is not None and n > CONSTANT_PAGES:
-                strict, weak = self.constants.setdefault(group, (set(), set()))
-                if n >= CONSTANT_SHARE * counts[group, None]:
-                    strict.add(key)
-                elif group == 0 and n >= WEAK_SHARE * counts[group, None]:
-                    weak.add(key)
-
-    @classmethod
-    def of(cls, constants: dict[int, tuple[Iterable[int], Iterable[int]]]) -> Wrapper:
-        own = cls([])
-        own.constants = {group: (set(strict), set(weak)) for group, (strict, weak) in constants.items()}
-        return own
+    def __init__(self, constants: dict[int, tuple[Iterable[int], Iterable[int]]] | list[str]):
+        """From keys by group, or from pages, by the rule of ``constants_of``."""
+        if not isinstance(constants, dict):
+            constants = _constants([Survey(parse(p)) for p in constants])
+        self.constants = {group: (frozenset(strict), frozenset(weak)) for group, (strict, weak) in constants.items()}
 
     def template(self, page: Node) -> set[int]:
         """Identities of the page's nodes that are constants of the host."""
@@ -384,38 +383,88 @@ _held: dict[tuple[str, str], Wrapper | None] = {}
 _schema = T.StructType().add("text", "string").add("n_chars", "long")
 
 
-def main_text(pages: DataFrame, keep: list | None = None, sample: int = SAMPLE) -> DataFrame:
+def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, layouts, keys = [], [], []
+        for html in batch.column(1).to_pylist():
+            own = Survey(parse(html))
+            texts.append(own.text)
+            layouts.append(own.layout)
+            keys.append(own.keys())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.int64()), pa.array(layouts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["_host", "_text", "_layout", "_keys"])
+
+
+def repeated(pages: DataFrame) -> DataFrame:
+    """(_host, _group, _key, _n): how many pages of each host (group 0) and of each of its layouts have an element, if enough have; a null key stands for all pages. From pages (_host, html).
+
+    Elements are counted with partial aggregates, so a large host is no large task; of pages with equal text the one of the least layout counts.
+    """
+    found = pages.where("length(html) > 0").select("_host", "html").mapInArrow(_surveyed, "_host string, _text long, _layout long, _keys array<long>")
+    once = found.groupBy("_host", "_text").agg(F.min(F.struct("_layout", "_keys")).alias("_s"))
+    by_group = once.select("_host", F.explode(F.array(F.lit(0).cast("long"), "_s._layout")).alias("_group"), F.col("_s._keys").alias("_keys"))
+    spots = by_group.select("_host", "_group", F.explode(F.concat(F.array(F.lit(None).cast("long")), "_keys")).alias("_key"))
+    return spots.groupBy("_host", "_group", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") > CONSTANT_PAGES)
+
+
+def constants_of(counts: DataFrame) -> DataFrame:
+    """(_host, _group, _strict, _weak): the keys of the constants of each host and layout, from what ``repeated`` gives."""
+    totals = counts.where("_key is null").select("_host", "_group", F.col("_n").alias("_of"))
+    share = F.col("_n") / F.col("_of")
+    kept = counts.where("_key is not null").join(totals, ["_host", "_group"]).where((share >= CONSTANT_SHARE) | (F.col("_group") == 0) & (share >= WEAK_SHARE))
+    strict = share >= CONSTANT_SHARE
+    return kept.groupBy("_host", "_group").agg(F.sort_array(F.collect_list(F.when(strict, F.col("_key")))).alias("_strict"), F.sort_array(F.collect_list(F.when(~strict, F.col("_key")))).alias("_weak"))
+
+
+def main_text(pages: DataFrame, keep: list | None = None) -> DataFrame:
     """``keep`` (default page_id, url) of every page with text and n_chars (its code points). A null or empty html gives an empty text; a url without host, or a null one, belongs to the host ''."""
     spark = pages.sparkSession
     keep = keep or ["page_id", "url"]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     own = pages.withColumn("_host", host)
-    order = Window.partitionBy("_host").orderBy(F.xxhash64("url", F.substring("html", 1, 10_000)), "url")
-    few = own.where("_host != '' and length(html) > 0").select("_host", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample)
-    wrappers = few.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("_k", "html"))).alias("_pages")).select("_host", F.col("_pages.html").alias("_pages"))
-    wrappers = wrappers.persist()
-    size = wrappers.agg(F.sum(F.aggregate("_pages", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    counts = repeated(own).persist()
+    wrappers = constants_of(counts).persist()
+    size = wrappers.agg(F.sum(64 + 8 * (F.size("_strict") + F.size("_weak")))).first()[0] or 0
+    counts.unpersist()
     call = uuid.uuid4().hex
     picked = [*keep, "_host", F.col("html").alias("_html")]
     fields = own.select(*keep).schema.fields
+    n = len(fields)
     if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r["_host"]: r["_pages"] for r in wrappers.toLocalIterator()})
+        held: dict[str, dict] = {}
+        for r in wrappers.toLocalIterator():
+            held.setdefault(r["_host"], {})[r["_group"]] = (array("q", r["_strict"]), array("q", r["_weak"]))
         wrappers.unpersist()
+        shared = spark.sparkContext.broadcast(held)
         source = own.select(*picked)
-    else:
+    else:  # each page gets the constants of its host and of its own layout
         shared = None
-        source = own.select(*picked).join(wrappers, "_host", "left").select(*[f.name for f in fields], "_host", "_html", "_pages")
+
+        def with_layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                layouts = [Survey(parse(html)).layout if html else None for html in batch.column(n + 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64())], names=[*batch.schema.names, "_group"])
+
+        named = own.select(*picked)
+        source = named.mapInArrow(with_layout, T.StructType([*named.schema.fields, T.StructField("_group", T.LongType())]))
+        whole = wrappers.where("_group = 0").select("_host", F.col("_strict").alias("_s0"), F.col("_weak").alias("_w0"))
+        source = source.join(wrappers.select("_host", "_group", F.col("_strict").alias("_s1")), ["_host", "_group"], "left").join(whole, "_host", "left")
+        source = source.select(*[f.name for f in fields], "_host", "_html", "_group", "_s0", "_w0", "_s1")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, texts = batch.column(len(fields)).to_pylist(), []
+            hosts, texts = batch.column(n).to_pylist(), []
             for k, name in enumerate(hosts):
-                if name and (call, name) not in _held:
-                    got = shared.value.get(name) if shared else batch.column(len(fields) + 2)[k].as_py()
-                    if len(_held) >= KEPT:
-                        _held.clear()
-                    _held[call, name] = Wrapper(got) if got else None
-                texts.append(extract(batch.column(len(fields) + 1)[k].as_py(), _held.get((call, name))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=[*[f.name for f in fields], "text", "n_chars"])
+                if shared is None:
+                    group, *keys = (batch.column(i)[k].as_py() for i in range(n + 2, n + 6))
+                    own_wrapper = Wrapper({0: (keys[0] or (), keys[1] or ()), group: (keys[2] or (), ())})
+                else:
+                    if (call, name) not in _held:
+                        if len(_held) >= KEPT:
+                            _held.clear()
+                        got = shared.value.get(name)
+                        _held[call, name] = Wrapper(got) if got else None
+                    own_wrapper = _held[call, name]
+                texts.append(extract(batch.column(n + 1)[k].as_py(), own_wrapper))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=[*[f.name for f in fields], "text", "n_chars"])
 
     return source.mapInArrow(apply, T.StructType([*fields, *_schema.fields]))

@@ -91,3 +91,23 @@ def test_layouts_and_repeated_articles():
     same = "".join(f"<p>Paragraph {k} of an article that stands on several pages.</p>" for k in range(6))
     pages = [f"<body><p>Top.</p><div><p>Own text of page {k}.</p></div></body>" for k in range(20)] + [f"<body><p>Top.</p><div>{same}<p>Edition {k}</p></div></body>" for k in range(5)]
     assert wrapper.extract(pages[-1], wrapper.Wrapper(pages)).count("an article that stands") == 6
+
+
+def test_all_pages_of_a_host_are_counted(spark, monkeypatch):
+    def layout(name, k):
+        filler = f"<p>{'Long words of a long story ' * 8000}{k}</p>" if k == 0 else ""
+        return f"<body><div class={name}><p>Template of layout {name}.</p></div><div><p>Story {k} of {name}.</p>{filler}</div><p>End notice of {name}.</p></body>"
+
+    rows = [(k, f"http://h.example/{k}", layout("x", k)) for k in range(30)]
+    rows += [(100 + k, f"http://h.example/y{k}", layout("y", k)) for k in range(8)]
+    rows += [(200 + k, f"http://h.example/copy{k}", layout("x", 5)) for k in range(60)]
+    rows += [(300 + k, f"http://long.example/{k}", layout("z", 0).replace("Story 0", f"Story {k}")) for k in range(4)]
+    rows += [(400 + k, None, layout("w", k + 1)) for k in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(frame).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == f"Story {k} of x." for k in range(1, 30)) and all(got[100 + k] == f"Story {k} of y." for k in range(1, 8))
+    assert all(got[200 + k] == "Story 5 of x." for k in range(60)) and all(got[400 + k] == f"Story {k + 1} of w." for k in range(4))
+    assert all("End notice" not in got[300 + k] and f"Story {k}" in got[300 + k] for k in range(4))
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in wrapper.main_text(frame).collect()} == got
