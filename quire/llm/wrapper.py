@@ -351,32 +351,44 @@ def _flush(out: list[str], run: list[str]) -> None:
         out.append(text)
 
 
-def _find(node: Node, tag: str) -> list[Node]:
+def _find(node: Node, tag: str, template: set[int] | frozenset = frozenset()) -> list[Node]:
     found = []
     for c in node.children:
+        if id(c) in template:
+            continue
         if c.tag == tag:
             found.append(c)
         elif not c.never_content():
-            found += _find(c, tag)
+            found += _find(c, tag, template)
     return found
 
 
 def extract(html: str | None, wrapper: Wrapper | None) -> str:
-    """The main text: the article elements if the page has any, else the main element, else the whole page, without template and boilerplate."""
+    """The main text, without template and boilerplate: of the smallest scope (the article elements, the main element, the whole page) that holds at least half of what is left of the page."""
     if not html:
         return ""
     root = parse(html)
     template = wrapper.template(root) if wrapper else set()
-    articles = _find(root, "article")
-    if not articles:  # a header inside an article is its heading; here it is the site's
-        template |= {id(h) for h in _find(root, "header")}
-    for scope in (articles, _find(root, "main"), [root]):
-        out: list[str] = []
-        for node in scope:
-            _blocks(node, template, out, [])
-        if out:
-            return "\n\n".join(out)
-    return ""
+    articles, mains = _find(root, "article", template), _find(root, "main", template)
+    inside = {id(h) for node in articles for h in _find(node, "header")}
+    # a header inside an article is its heading; elsewhere it is the site's
+    template |= {id(h) for h in _find(root, "header")} - inside
+    whole = _left([root], template)
+    size = sum(map(len, whole))
+    for scope in (articles, mains):
+        if scope:
+            out = _left(scope, template)
+            if out and 2 * sum(map(len, out)) >= size:
+                return "\n\n".join(out)
+    return "\n\n".join(whole)
+
+
+def _left(scope: list[Node], template: set[int]) -> list[str]:
+    """Blocks of the elements of a scope that are no template."""
+    out: list[str] = []
+    for node in scope:
+        _blocks(node, template, out, [])
+    return out
 
 
 _held: dict[tuple[str, str], Wrapper | None] = {}

@@ -111,3 +111,14 @@ def test_all_pages_of_a_host_are_counted(spark, monkeypatch):
     assert all("End notice" not in got[300 + k] and f"Story {k}" in got[300 + k] for k in range(4))
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
     assert {r.page_id: r.text for r in wrapper.main_text(frame).collect()} == got
+
+
+def test_cards_are_not_the_article():
+    body = "<h1>Title</h1><p>The body of the page, which is much longer than the cards beside it are, and goes on for a while.</p>"
+    cards = "".join(f"<article><h3>Card {k}</h3></article>" for k in range(3))
+    for tag in ("div", "main"):
+        got = wrapper.extract(f"<header><p>Site</p></header><{tag}>{body}</{tag}><div>{cards}</div>", None)
+        assert got.startswith("Title\n\nThe body of the page") and "Site" not in got
+    assert "Card" not in wrapper.extract(f"<main>{body}</main><div>{cards}</div>", None)
+    own = wrapper.Wrapper([f"<body><article><p>About us.</p></article><div><p>Story {k}.</p></div></body>" for k in range(4)])
+    assert wrapper.extract("<body><article><p>About us.</p></article><div><p>Story 9.</p></div></body>", own) == "Story 9."
