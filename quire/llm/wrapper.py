@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from html import unescape
@@ -87,15 +87,18 @@ class _Builder:
 
     def __init__(self):
         self.root = Node("#root")
-        self.stack = [self.root]
+        # open elements: tag, node that takes their content (above the bound the element itself), its level
+        self.stack = [("#root", self.root, 1)]
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of a tag stand on the stack
 
     def _end(self, tags: set | frozenset, scope: set | frozenset) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in scope:
-                return
+        at = max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+        above = len(self.stack) - 1 - at
+        if not at or above and scope and (any(s[0] in scope for s in self.stack[at + 1 :]) if above < 64 else any(self.open[t] and self.open[t][-1] > at for t in scope)):
+            return
+        for tag, _, _ in self.stack[at:]:
+            self.open[tag].pop()
+        del self.stack[at:]
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in _CLOSES_P:
@@ -112,15 +115,15 @@ class _Builder:
             if own.get("role", "").lower() in _ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
                 label += " hidden"
         node = Node(tag, label)
-        self.stack[-1].parts.append(node)
+        _, parent, level = self.stack[-1]
+        parent.parts.append(node)
         # below DEEPEST an element's content goes to its parent, below twice that even if it is none of the article
-        deep = len(self.stack) > DEEPEST and (len(self.stack) > 2 * DEEPEST or not node.never_content())
-        if tag not in VOID and not deep and not (attributes.endswith("/") and tag in _FOREIGN):
-            self.stack.append(node)
+        deep = level > DEEPEST and (level > 2 * DEEPEST or not node.never_content())
+        if tag not in VOID and not (attributes.endswith("/") and tag in _FOREIGN):
+            self.stack.append((tag, parent, level) if deep else (tag, node, level + 1))
+            self.open[tag].append(len(self.stack) - 1)
 
     def end(self, tag: str) -> None:
-        if tag == "p" and not any(n.tag == "p" for n in self.stack):
-            return
         if tag not in VOID:
             self._end({tag}, _NOTHING if tag in BLOCKS else _INLINE_SCOPE)
 
@@ -130,7 +133,7 @@ class _Builder:
             m = _MARKUP.search(html, at)
             text = html[at : m.start() if m else len(html)]
             if text:
-                self.stack[-1].parts.append(unescape(text) if "&" in text else text)
+                self.stack[-1][1].parts.append(unescape(text) if "&" in text else text)
             if not m:
                 return
             at = m.end()

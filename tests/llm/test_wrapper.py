@@ -122,3 +122,11 @@ def test_cards_are_not_the_article():
     assert "Card" not in wrapper.extract(f"<main>{body}</main><div>{cards}</div>", None)
     own = wrapper.Wrapper([f"<body><article><p>About us.</p></article><div><p>Story {k}.</p></div></body>" for k in range(4)])
     assert wrapper.extract("<body><article><p>About us.</p></article><div><p>Story 9.</p></div></body>", own) == "Story 9."
+
+
+def test_end_tags_of_deep_elements_close_only_them():
+    for n in (100, 200, 400, 20_000):
+        html = "<div><article>" + "<div>" * n + "deep" + "</div>" * n + "<p>rest</p></article></div><div>out</div>"
+        assert wrapper.extract(html, None) == "deep\n\nrest"
+        html = "<table><tr><td><article>" + "<table><tr><td>" * n + "deep" + "</table>" * n + "<p>rest</p></article><td>out</table>"
+        assert wrapper.extract(html, None) == "deep\n\nrest"
