@@ -107,6 +107,12 @@ def _vectors(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a list column, of any lengths."""
+    ends = column.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
 def bucket_links(unit: np.ndarray, keys: np.ndarray, copies: np.ndarray, table: int, cosine: float, half: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """For each vector of a bucket the copies it is linked to here and in no earlier table, and links that connect."""
     close = unit @ unit.T >= cosine
@@ -121,72 +127,78 @@ def bucket_links(unit: np.ndarray, keys: np.ndarray, copies: np.ndarray, table:
 def similar_vectors(vectors: DataFrame, cosine: float = 0.95, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of another dimension than most rows
-    (the larger of equally frequent ones), nor rows with a null id, which have no component and are kept. Rows that repeat an id are vectors of their own in
-    n_links and one in components.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows with a null id, which have no component and are
+    kept. Vectors link with those of their own dimension only: each dimension has an index of its own. Rows that repeat an id are vectors of their own in n_links
+    and one in components.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = scratch.save(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).select("vec_id", F.when(F.col("sound"), F.xxhash64("v")).alias("p"), F.when(F.col("sound"), F.xxhash64("v", F.lit(1))).alias("q"), F.when(F.col("sound"), F.col("v")).alias("v")), "rows")
-    most = rows.where("p is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if most is None:
+    usable = rows.where("p is not null").withColumn("d", F.size("v"))
+    classes = scratch.save(usable.groupBy("d", "p", "q").agg(F.min("vec_id").alias("c"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "classes")
+    totals = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
+    if not totals:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    size = most["d"]
-    usable = rows.where((F.size("v") == size) & F.col("p").isNotNull())
-    classes = scratch.save(usable.groupBy("p", "q").agg(F.min("vec_id").alias("c"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "classes")
-    total = classes.count()
-    share = F.pmod(F.col("p"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_ROWS / total))
-    sampled = classes.where(share).select("p", "v").toArrow().combine_chunks()
-    if not len(sampled):
-        sampled = classes.select("p", "v").limit(1).toArrow().combine_chunks()
-    sampled = sampled.sort_by("p").combine_chunks()
-    shared = spark.sparkContext.broadcast(fit(_vectors(sampled["v"].chunk(0), size), total, cosine))
+    fitted = {}
+    for size, total in sorted((d, n) for d, n in totals.items() if n > 1):
+        own = classes.where(F.col("d") == size)
+        share = F.pmod(F.col("p"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_ROWS / total))
+        sampled = own.where(share).select("p", "v").toArrow().combine_chunks()
+        if not len(sampled):
+            sampled = own.select("p", "v").limit(1).toArrow().combine_chunks()
+        sampled = sampled.sort_by("p").combine_chunks()
+        fitted[size] = fit(_vectors(sampled["v"].chunk(0), size), total, cosine)
+    shared = spark.sparkContext.broadcast(fitted)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                keys = shared.value.keys(unit_rows(_vectors(batch.column(3), size)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["p", "q", "c", "copies", "keys"])
-
-    keyed = scratch.save(classes.select("p", "q", "c", "v", "copies").mapInArrow(coded, "p long, q long, c long, copies long, keys array<long>"), "keyed")
-    spots = keyed.select("p", "q", F.posexplode("keys").alias("t", "key"))
-    full = spots.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+            sizes = batch.column(5).to_numpy()
+            for size in map(int, np.unique(sizes)):
+                if size not in shared.value:  # a sole vector of its dimension
+                    continue
+                some = batch.filter(pa.array(sizes == size))
+                keys = shared.value[size].keys(unit_rows(_vectors(some.column(3), size)))
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], some.column(4), some.column(5), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["p", "q", "c", "copies", "d", "keys"])
+
+    keyed = scratch.save(classes.select("p", "q", "c", "v", "copies", "d").mapInArrow(coded, "p long, q long, c long, copies long, d int, keys array<long>"), "keyed")
+    spots = keyed.select("p", "q", "d", F.posexplode("keys").alias("t", "key"))
+    full = spots.groupBy("d", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
     counted = scratch.save(full, "buckets")
     blocks = F.ceil(F.col("n") * 2 / BUCKET)
-    dealt = spots.join(counted.where(F.col("n") <= BUCKET).select("t", "key"), ["t", "key"]).select("t", "key", F.lit(0).cast("long").alias("block"), F.lit(-1).alias("side"), "p", "q")
+    dealt = spots.join(counted.where(F.col("n") <= BUCKET).select("d", "t", "key"), ["d", "t", "key"]).select("d", "t", "key", F.lit(0).cast("long").alias("block"), F.lit(-1).alias("side"), "p", "q")
     if not counted.where(F.col("n") > BUCKET).isEmpty():
-        large = spots.join(counted.where(F.col("n") > BUCKET).select("t", "key", blocks.alias("m")), ["t", "key"])
+        large = spots.join(counted.where(F.col("n") > BUCKET).select("d", "t", "key", blocks.alias("m")), ["d", "t", "key"])
         large = large.withColumn("i", F.pmod(F.xxhash64("p"), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
         lo, hi = F.least("i", "j"), F.greatest("i", "j")
-        dealt = dealt.union(large.select("t", "key", (1 + lo * F.col("m") + hi).alias("block"), F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1).alias("side"), "p", "q"))
+        dealt = dealt.union(large.select("d", "t", "key", (1 + lo * F.col("m") + hi).alias("block"), F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1).alias("side"), "p", "q"))
     def linked(rows: list[tuple]) -> pa.RecordBatch:
-        table, half = rows[0][0], np.array([r[3] for r in rows])
-        ids, copies = [r[4] for r in rows], np.array([r[5] for r in rows])
-        n, pairs = bucket_links(unit_rows(np.stack([r[7] for r in rows])), np.stack([r[6] for r in rows]), copies, table, cosine, None if half[0] < 0 else half)
+        table, half = rows[0][1], np.array([r[4] for r in rows])
+        ids, copies = [r[5] for r in rows], np.array([r[6] for r in rows])
+        n, pairs = bucket_links(unit_rows(np.stack([r[8] for r in rows])), np.stack([r[7] for r in rows]), copies, table, cosine, None if half[0] < 0 else half)
         some = np.flatnonzero(n)
         a = [ids[i] for i in some] + [ids[i] for i, _ in pairs]
         b = [None] * len(some) + [ids[j] for _, j in pairs]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*n[some].tolist(), *[0] * len(pairs)], pa.int64()), pa.array([rows[i][8] for i in some] + [None] * len(pairs), pa.int64())], names=["a", "b", "n", "p"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*n[some].tolist(), *[0] * len(pairs)], pa.int64()), pa.array([rows[i][9] for i in some] + [None] * len(pairs), pa.int64())], names=["a", "b", "n", "p"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             if not len(batch):
                 continue
-            keys, vectors = _vectors(batch.column(6), shared.value.tables), _vectors(batch.column(7), size)
-            for k, row in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 8)), strict=True)):
-                if row[:3] != at:
+            keys, vectors = _lists(batch.column(7)), _lists(batch.column(8))
+            for k, row in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 6, 9)), strict=True)):
+                if row[:4] != at:
                     if len(held) > 1:
                         yield linked(held)
-                    at, held = row[:3], []
-                held.append((*row[:6], keys[k], vectors[k], row[6]))
+                    at, held = row[:4], []
+                held.append((*row[:7], keys[k], vectors[k], row[7]))
         if len(held) > 1:
             yield linked(held)
 
-    gathered = dealt.join(keyed, ["p", "q"]).join(classes.select("p", "q", "v"), ["p", "q"]).select("t", "key", "block", "side", "c", "copies", "keys", "v", "p")
-    found = scratch.save(gathered.repartition("t", "key", "block").sortWithinPartitions("t", "key", "block").mapInArrow(compare, "a long, b long, n long, p long"), "found")
+    gathered = dealt.join(keyed.drop("d"), ["p", "q"]).join(classes.select("p", "q", "v"), ["p", "q"]).select("d", "t", "key", "block", "side", "c", "copies", "keys", "v", "p")
+    found = scratch.save(gathered.repartition("d", "t", "key", "block").sortWithinPartitions("d", "t", "key", "block").mapInArrow(compare, "a long, b long, n long, p long"), "found")
     several = usable.groupBy("vec_id").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi").select("vec_id")
     same = usable.join(several, "vec_id", "left_semi").join(classes.select("p", "q", "c"), ["p", "q"]).select(F.col("vec_id").alias("a"), F.col("c").alias("b"))
     known = scratch.save(graph.components(found.where("b is not null").select("a", "b").union(same), scratch, "stars"), "known")

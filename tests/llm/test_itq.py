@@ -65,3 +65,22 @@ def test_recall_at_the_threshold():
     u = itq.unit_rows(u - (u * x).sum(1, keepdims=True) * x)
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * u
     assert (codes.keys(x) == codes.keys(y)).any(axis=1).mean() >= 0.9
+
+
+@pytest.mark.parametrize("bucket", [1024, 8])
+def test_each_dimension_has_its_links(spark, bucket, monkeypatch):
+    monkeypatch.setattr(itq, "BUCKET", bucket)
+    r = np.random.default_rng(5)
+    rows = []
+    for size, n in ((16, 40), (8, 25), (3, 4), (1, 1)):
+        for _ in range(n):
+            v = r.standard_normal(size)
+            rows += [(len(rows) + k, (v * (1 + k)).tolist()) for k in range(2)]
+    rows.append((len(rows), rows[-1][1] + [0.0]))
+    got = {g.vec_id: g for g in itq.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    for k, v in rows:
+        # twice a vector meets it in every table
+        same = [j for j, w in rows if j != k and len(w) == len(v) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95]
+        assert got[k].n_links <= len(same) and got[k].n_links >= min(1, len(same)) and got[k].component_id <= min([k, *same])
+    assert got[len(rows) - 1].n_links == 0 and got[len(rows) - 1].kept
