@@ -3,7 +3,9 @@
 Each task lays its documents out as word numbers of the benchmark's vocabulary (other words share a number that no benchmark
 word has, a separator stands between documents) and sorts the suffixes that begin with two benchmark words that follow
 each other somewhere in the benchmark: a suffix array of its shard, without the suffixes that no benchmark suffix can share two
-words with. Every benchmark suffix is binary-searched in it. Suffixes compare by their first ``DEPTH`` words, packed
+words with. ``contamination`` binary-searches the benchmark's windows in it, the first ``WINDOW`` words of a suffix (or a shorter item whole), and takes all places
+of each: its counts need every place, but no length beyond the window. ``longest_matches`` searches every benchmark suffix for its longest match
+and one place of it; neither the query nor the pipeline calls it. Suffixes compare by their first ``DEPTH`` words, packed
 into integers; longer matches are extended word by word.
 """
 
