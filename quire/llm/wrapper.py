@@ -2,7 +2,7 @@
 
 The DOM trees of a host's pages are laid over each other: an element is known by its place (the block elements above it and its own class and id)
 and its text. What most pages with different text repeat at the same place, of the host or of one layout (equal containers and language), is a constant: part of the
-template. So is what a smaller share of the host's pages repeats, outside of article elements, unless it is the larger part of a page's remaining text: then it may be an article
+template (inside an article element only if most pages of the host do). So is what a smaller share of the host's pages repeats, outside of article elements, unless it is the larger part of a page's remaining text: then it may be an article
 that the host shows several times. Pages of equal text count once. What falls into a varying slot is content, unless the slot itself is of
 a kind that never holds the article (navigation, header, footer, sidebar, notice, advert, form, script, style, comments).
 
@@ -306,7 +306,8 @@ class Wrapper:
         own = Survey(page)
         host, weak = self.constants.get(0, ((), ()))
         layout, _ = self.constants.get(own.layout, ((), ()))
-        strict = {id(m[0]) for m in own.marks if m[1] in host or m[1] in layout}
+        # a line that the few articles of a layout share is no template
+        strict = {id(m[0]) for m in own.marks if m[1] in host or m[1] in layout and not m[3]}
         also = {id(m[0]) for m in own.marks if m[1] in weak and not m[3]} - strict
         if also:
             size = {id(m[0]): m[2] for m in own.marks}

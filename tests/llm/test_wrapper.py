@@ -130,3 +130,13 @@ def test_end_tags_of_deep_elements_close_only_them():
         assert wrapper.extract(html, None) == "deep\n\nrest"
         html = "<table><tr><td><article>" + "<table><tr><td>" * n + "deep" + "</table>" * n + "<p>rest</p></article><td>out</table>"
         assert wrapper.extract(html, None) == "deep\n\nrest"
+
+
+def test_a_line_of_few_articles_stays():
+    def html(lang, k, line):
+        return f"<html lang={lang}><body><p>Top {lang}.</p><article><p>Own text of {k}, which no other page has.</p>{line}</article></body></html>"
+
+    common = "<p>A line that several articles share.</p>"
+    pages = [html("en", k, "") for k in range(60)] + [html("fr", 100 + k, common) for k in range(4)]
+    own = wrapper.Wrapper(pages)
+    assert wrapper.extract(pages[-1], own) == "Own text of 103, which no other page has.\n\nA line that several articles share."
