@@ -24,8 +24,8 @@ from quire.llm.shared import Scratch
 
 BLOCK, SHARD, SEED = 128, 4096, 20240501
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Documents of a packing bucket, in expectation.
-_BUCKET = 2_000
+#: Documents of a packing bucket, in expectation; rows that one task numbers in a running total; shards that one task draws or maps.
+_BUCKET, _RUN, _SHARDS = 500, 1_000, 8
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,6 +108,20 @@ class Plan:
         return block, takes - np.where(slots == self.slots - 1, self.cut, 0)
 
 
+def _running(frame: DataFrame, at: str, value: str, name: str) -> DataFrame:
+    """``frame`` with ``name``: the sum of ``value`` over the rows of its source_key before it, in order of ``at`` (distinct numbers from 0).
+
+    Runs of ``_RUN`` numbers are summed first and only these sums are ordered in one task a source, so a large source is numbered by many tasks.
+    """
+    runs = frame.withColumn("_run", F.floor(F.col(at) / _RUN))
+    sums = runs.groupBy("source_key", "_run").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("source_key").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("source_key", "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy("source_key", "_run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    out = runs.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(offsets, ["source_key", "_run"])
+    return out.withColumn(name, F.col("_offset") + F.col("_inner")).drop("_run", "_inner", "_offset")
+
+
 def packed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source_key, size, start) of every row, start being its first word's number within its source; and (source_key, total).
 
@@ -118,9 +132,7 @@ def packed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     sizes = scratch.save(docs.select("doc_id", key.alias("source_key"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h")), "sizes")
     buckets = max(1, -(-sizes.count() // _BUCKET))
     sizes = sizes.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sums = sizes.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    offsets = _running(sizes.groupBy("source_key", "bucket").agg(F.sum("size").alias("words")), "bucket", "words", "offset").drop("words")
     inner = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["source_key", "bucket"])
     starts = scratch.save(starts.select("doc_id", "source_key", "size", (F.col("offset") + F.col("inner")).alias("start")), "starts")
@@ -149,7 +161,8 @@ def slots(spark, plans: dict[str, Plan]) -> DataFrame:
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array([keys[i] for i in at], pa.string()), pa.array(n[at].astype(np.int64))], names=["shard", "source_key", "n"])
 
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 4096))).mapInArrow(draw, "shard long, source_key string, n long")
+    tasks = max(1, min(4096, -(-shards // _SHARDS)))
+    drawn = spark.range(0, shards, 1, tasks).mapInArrow(draw, "shard long, source_key string, n long")
     missing, at = [], shards * SHARD
     for r in drawn.groupBy("source_key").agg(F.sum("n").alias("n")).collect() if total else []:
         need[keys.index(r["source_key"])] -= r["n"]
@@ -159,8 +172,7 @@ def slots(spark, plans: dict[str, Plan]) -> DataFrame:
             missing.append((at // SHARD, k, n))
             at, short = at + n, short - n
     drawn = drawn.union(spark.createDataFrame(missing, "shard long, source_key string, n long"))
-    before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = drawn.groupBy("source_key", "shard").agg(F.sum("n").alias("n")).select("shard", "source_key", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranges = _running(drawn.groupBy("source_key", "shard").agg(F.sum("n").alias("n")), "shard", "n", "first")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +183,9 @@ def slots(spark, plans: dict[str, Plan]) -> DataFrame:
                     block, takes = plan.block(slot)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard, np.int64)), pa.array([key] * len(slot), pa.string()), *map(pa.array, (slot, block, takes))], names=["shard", "source_key", "slot", "block", "takes"])
 
-    return ranges.mapInArrow(mapped, "shard long, source_key string, slot long, block long, takes long")
+    # few rows become many: they are dealt by number, which no size estimate merges again
+    dealt = ranges.select("shard", "source_key", "n", "first").repartition(tasks, "shard", "source_key")
+    return dealt.mapInArrow(mapped, "shard long, source_key string, slot long, block long, takes long")
 
 
 def mixture(starts: DataFrame, plans: dict[str, Plan]) -> DataFrame:
@@ -187,7 +201,11 @@ def mixture(starts: DataFrame, plans: dict[str, Plan]) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row. A null or blank text has size 0 and nothing taken; a null source is a source."""
+    """(doc_id, size, source_size, target, taken) for every row. A null or blank text has size 0 and nothing taken; a null source is a source.
+
+    Texts of any length are packed over as many blocks as they need. Rows that repeat (or share an id) are documents of their own, each at its own place; which of
+    two equal rows stands first changes nothing. Sources stand in code point order, so weights never tie. An empty table gives no rows; columns of other names are ignored.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
     starts, totals = packed(docs, scratch)
     plans = planned(totals)
