@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 #: White space as in Unicode, with the four information separators.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+_VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Stand around a kept label so that an empty one can be told; private-use characters.
 _OPEN, _CLOSE = "\ue000", "\ue001"
+#: Marks a reference's token, so that it sorts after the same token of the markdown and before any longer one.
+_AFTER = "!"
+# Markdown noise within a line, in the order in which it goes; {s} is white space. A group is a label that stays.
+NOISE = (r"^```.*$", r"^{s}*#{{1,6}}{s}", r"!\[([^\]]*)\]\([^)]*\)", r"\[([^\]]*)\]\([^)]*\)", r"[*_`]+")
 MIN_TOKENS = 30
 FLOOR = 0.80
 
@@ -23,8 +28,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines at every Unicode line boundary; a break at the end begins no line."""
-    parts = F.split(text, _BREAK)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, _BREAK), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def stripped(text: Column) -> Column:
@@ -33,7 +37,7 @@ def stripped(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return stripped(text) == ""
+    return ~text.rlike(_VISIBLE)
 
 
 def nonblank(text: Column) -> Column:
@@ -50,19 +54,15 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, rf"{SPACE}+"), lambda x: x != ""))
 
 
-def _labelled(line: Column, pattern: str) -> Column:
-    """Matches become their first group, or a space where it is empty."""
-    marked = F.regexp_replace(line, pattern, f"{_OPEN}$1{_CLOSE}")
-    return F.regexp_replace(F.regexp_replace(marked, f"{_OPEN}{_CLOSE}", " "), f"[{_OPEN}{_CLOSE}]", "")
-
-
 def plain_line(line: Column) -> Column:
-    """A line without markdown marks: fences, heading marks, image and link targets, emphasis."""
-    line = F.regexp_replace(line, r"^```.*$", " ")
-    line = F.regexp_replace(line, rf"^{SPACE}*#{{1,6}}{SPACE}", " ")
-    line = _labelled(line, r"!\[([^\]]*)\]\([^)]*\)")
-    line = _labelled(line, r"\[([^\]]*)\]\([^)]*\)")
-    return F.regexp_replace(line, r"[*_`]+", " ")
+    """A line without markdown noise. An empty label is told from no match by the marks around it."""
+    for pattern in (n.format(s=SPACE) for n in NOISE):
+        if "(" not in pattern.replace("\\(", "").replace("(?U)", ""):
+            line = F.regexp_replace(line, pattern, " ")
+        else:
+            marked = F.regexp_replace(line, pattern, f"{_OPEN}$1{_CLOSE}")
+            line = F.translate(F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit(" ")), _OPEN + _CLOSE, "")
+    return line
 
 
 def tokens(text: Column) -> Column:
@@ -74,10 +74,13 @@ def tokens(text: Column) -> Column:
 def recall(reference: Column, markdown: Column, least: int = MIN_TOKENS) -> Column:
     """Share of the reference's tokens, repeats counted, that occur in the markdown; null under ``least`` reference tokens.
 
-    Both are token arrays. Only the tokens that are missing are looked up one by one; they are found by hashing.
+    Both are token arrays. They are merged in order, the markdown's tokens each once and before equal ones of the reference: one sort and one pass.
     """
-    pair = F.struct(reference.alias("all"), F.array_except(reference, markdown).alias("missing"))
-    hits = bound(pair, lambda p: F.size(F.filter(p["all"], lambda t: ~F.array_contains(p["missing"], t))))
+    own = F.transform(reference, lambda t: F.concat(t, F.lit(_AFTER)))
+    merged = F.sort_array(F.concat(F.array_distinct(markdown), own))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("hits"))
+    step = lambda s, x: F.when(F.endswith(x, F.lit(_AFTER)), F.struct(s["last"].alias("last"), (s["hits"] + (x == s["last"]).cast("int")).alias("hits"))).otherwise(F.struct(F.concat(x, F.lit(_AFTER)).alias("last"), s["hits"].alias("hits")))
+    hits = F.aggregate(merged, start, step, lambda s: s["hits"])
     return F.when(F.size(reference) >= least, hits.cast("double") / F.size(reference))
 
 
@@ -98,8 +101,7 @@ def outline(text: Column) -> Column:
 
 def candidate_lines(text: Column) -> Column:
     """The first two and the last two lines that aren't blank; a short page gives some twice."""
-    full = nonblank(text)
-    return F.concat(F.slice(full, 1, 2), F.slice(full, F.greatest(F.lit(1), F.size(full) - 1), 2))
+    return bound(nonblank(text), lambda full: F.concat(F.slice(full, 1, 2), F.slice(full, F.greatest(F.lit(1), F.size(full) - 1), 2)))
 
 
 def occurrences(text: Column, part: Column | str) -> Column:

@@ -5,6 +5,7 @@ A page table has the columns doc_id, page_number, text.
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -54,18 +55,25 @@ def furniture_exact(pages: DataFrame, recurrence: float = RECURRENCE) -> DataFra
 def furniture_similar(pages: DataFrame, recurrence: float = RECURRENCE, threshold: float = SIMILAR) -> DataFrame:
     """(doc_id, key, hits, total) with similar lines counted together.
 
-    Only lines that can be similar meet: their lengths and their counts of frequent characters, compared by the JVM, bound the ratio from
-    above. Every line that is its own match needs no comparison.
+    Only lines that can be similar meet: similar lengths put them into the same band or neighbouring ones, and the counts of frequent characters
+    bound the ratio from above. A line whose bands hold too few pages can't recur often enough and meets none. Every line is its own match.
     """
     total = pages.groupBy("doc_id").agg(F.count("*").alias("total")).where("total >= 2")
-    lines = candidates(pages).select("doc_id", "page_number", "key", (~F.col("line").rlike(_HAS_TOKEN)).alias("free")).distinct()
+    # lengths of similar lines differ by this factor at most
+    factor = ((2 - threshold) / threshold) ** 1.001 if threshold < 1 else 1
+    band = F.floor(F.log(F.greatest(F.length("key"), F.lit(1))) / math.log(factor)) if factor > 1 else F.length("key").cast("long")
+    lines = candidates(pages).select("doc_id", "page_number", "key", (~F.col("line").rlike(_HAS_TOKEN)).alias("free"), band.alias("band")).distinct()
+    near_bands = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
+    held = lines.select("doc_id", "page_number", near_bands).groupBy("doc_id", "band").agg(F.count_distinct("page_number").alias("held"))
     counts = F.array(*[F.length("key") - F.length(F.replace("key", F.lit(c), F.lit(""))) for c in _COUNTED])
-    keys = lines.groupBy("doc_id", "key").agg(F.max("free").alias("free")).withColumn("counts", counts).withColumn("n", F.length("key"))
-    left = keys.where("free").select("doc_id", F.col("key").alias("a"), F.col("n").alias("an"), F.col("counts").alias("ac"))
-    right = keys.select("doc_id", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("counts").alias("bc"))
+    keys = lines.groupBy("doc_id", "band", "key").agg(F.max("free").alias("free")).withColumn("counts", counts).withColumn("n", F.length("key"))
+    may_recur = held.join(total, "doc_id").where(F.col("held") / F.col("total") >= recurrence).select("doc_id", "band")
+    left = keys.where("free").join(may_recur, ["doc_id", "band"], "left_semi")
+    right = keys.select("doc_id", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("counts").alias("bc"), near_bands)
+    left = left.select("doc_id", "band", F.col("key").alias("a"), F.col("n").alias("an"), F.col("counts").alias("ac"))
     both = F.col("an") + F.col("bn")
     apart = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = left.join(right, "doc_id").where((F.col("a") != F.col("b")) & (2 * F.least("an", "bn") >= threshold * both) & (apart <= (1 - threshold) * both))
+    near = left.join(right, ["doc_id", "band"]).where((F.col("a") != F.col("b")) & (2 * F.least("an", "bn") >= threshold * both) & (apart <= (1 - threshold) * both))
     near = near.where(similar(threshold)("a", "b")).select("doc_id", "a", "b").union(left.select("doc_id", "a", F.col("a").alias("b")))
     hits = near.join(lines.select("doc_id", F.col("key").alias("b"), "page_number"), ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("key")).agg(F.count_distinct("page_number").alias("hits"))
     return hits.join(total, "doc_id").where(F.col("hits") / F.col("total") >= recurrence)
@@ -121,13 +129,13 @@ def joined_pages(pages: DataFrame) -> DataFrame:
     full = pages.where(~X.is_blank(F.col("text"))).select("doc_id", F.struct("page_number", bare.alias("text"), _kinds(bare).alias("k")).alias("p"))
     parts = full.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     # codes: 0 first page, 1 blank line, 2 list goes on, 3 table goes on
-    fold = """aggregate(ps, named_struct('codes', cast(array() as array<int>), 'row', false, 'item', false),
+    fold = """aggregate(ps, named_struct('codes', '', 'row', false, 'item', false),
         (s, p) -> named_struct(
-            'codes', concat(s.codes, array(case when size(s.codes) = 0 then 0 when s.row and p.k.row_head then 3 when s.item and p.k.item_head then 2 else 1 end)),
-            'row', if(size(s.codes) > 0 and s.row and p.k.row_head and p.k.sole, s.row, p.k.row_tail),
-            'item', if(size(s.codes) > 0 and s.row and p.k.row_head and p.k.sole, s.item, p.k.item_tail)),
-        s -> s.codes)"""
-    piece = lambda p, c: F.when(c == 0, p["text"]).when(c == 3, F.concat(F.lit("\n"), F.ltrim(M.without_leading_separator(p["text"]), F.lit("\n")))).otherwise(F.concat(F.when(c == 2, "\n").otherwise("\n\n"), p["text"]))
+            'codes', concat(s.codes, case when s.codes = '' then '0' when s.row and p.k.row_head then '3' when s.item and p.k.item_head then '2' else '1' end),
+            'row', if(s.codes <> '' and s.row and p.k.row_head and p.k.sole, s.row, p.k.row_tail),
+            'item', if(s.codes <> '' and s.row and p.k.row_head and p.k.sole, s.item, p.k.item_tail)),
+        s -> split(s.codes, ''))"""
+    piece = lambda p, c: F.when(c == "0", p["text"]).when(c == "3", F.concat(F.lit("\n"), F.ltrim(M.without_leading_separator(p["text"]), F.lit("\n")))).otherwise(F.concat(F.when(c == "2", "\n").otherwise("\n\n"), p["text"]))
     out = parts.withColumn("codes", F.expr(fold))
     return out.select("doc_id", F.concat(F.array_join(F.zip_with("ps", "codes", piece), ""), F.lit("\n")).alias("document"))
 
@@ -164,6 +172,22 @@ def rolling_context(pages: DataFrame, window: int = 3) -> DataFrame:
     return out.select(*pages.columns, "context", "outline")
 
 
+def frontier_context(pages: DataFrame, frontier: DataFrame, window: int = 3) -> DataFrame:
+    """(doc_id, page_number, context, outline) as ``rolling_context`` gives for the pages of ``frontier``, one a document, from finished pages before them.
+
+    A document's headings are gathered once, for its one page, and only its last pages' texts.
+    """
+    at = frontier.select("doc_id", F.col("page_number").alias("_at"))
+    before = pages.join(at, "doc_id").where("page_number < _at and text <> ''")
+    latest = Window.partitionBy("doc_id").orderBy(F.desc("page_number"))
+    last = before.select("doc_id", "page_number", "text").withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= window)
+    context = last.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("_ps"))
+    heads = before.select("doc_id", "page_number", X.outline(F.col("text")).alias("_heads")).where(F.size("_heads") > 0)
+    heads = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "_heads"))).alias("_hs"))
+    out = frontier.select("doc_id", "page_number").join(context, "doc_id", "left").join(heads, "doc_id", "left")
+    return out.select("doc_id", "page_number", F.coalesce(F.array_join(F.col("_ps.text"), "\n\n"), F.lit("")).alias("context"), F.coalesce(F.array_join(F.flatten(F.col("_hs._heads")), "\n"), F.lit("")).alias("outline"))
+
+
 def preview(pages: DataFrame, done: Column) -> DataFrame:
     """(doc_id, markdown): finished, non-empty pages in order."""
     full = pages.where(done & (F.col("text") != "")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("ps"))

@@ -173,9 +173,8 @@ def run(spark: SparkSession, path: str, pages: DataFrame, models: Models, settin
         now = store.latest(now, ["job_id", "page_number"])
         open_ = store.resume_points(jobs, now).where("page_number is not null")
         before = now.where(store.is_final(F.col("status"))).select(F.col("job_id").alias("doc_id"), "page_number", F.col("markdown").alias("text"))
-        marks = open_.select(F.col("job_id").alias("doc_id"), "page_number", F.lit("").alias("text"))
-        context = assembly.rolling_context(before.join(open_.select(F.col("job_id").alias("doc_id"), F.col("page_number").alias("_at")), "doc_id").where("page_number < _at").drop("_at").union(marks), settings.rolling_context_pages)
-        context = context.join(marks.select("doc_id", "page_number"), ["doc_id", "page_number"], "left_semi").select(F.col("doc_id").alias("job_id"), "page_number", "context", "outline")
+        marks = open_.select(F.col("job_id").alias("doc_id"), "page_number")
+        context = assembly.frontier_context(before, marks, settings.rolling_context_pages).withColumnRenamed("doc_id", "job_id")
         frontier = held.join(context, ["job_id", "page_number"])
         tried = f"{path}/attempts/wave={int(time.time() * 1e6)}"
         attempts(frontier.repartition("job_id"), settings, models).write.mode("overwrite").parquet(tried)

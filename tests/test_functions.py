@@ -118,9 +118,12 @@ def test_mermaid(one):
     assert allowed is not None
 
 
-def test_math():
-    assert mathspans.safe_text(r"$\text{old\_way}$ \text{a\_b}") == r"$\text{old}\rule[-0.05em]{0.35em}{0.5pt}\text{way}$ \text{a\_b}"
-    assert mathspans.safe_text(r"$\{a\}$") == r"$\lbrace a \rbrace$"
-    for t in (r"$\text{a\_b\_c}$", r"$$x_{1} \{ y \}$$", "costs $5 and $6", "x_1"):
-        assert mathspans.safe_text(mathspans.safe_text(t)) == mathspans.safe_text(t)
+def test_math(one):
+    safe = lambda *texts: one(list(texts), mathspans.github_math_safe)
+    assert safe(r"$\text{old\_way}$ \text{a\_b}", r"$\{a\}$") == [r"$\text{old}\rule[-0.05em]{0.35em}{0.5pt}\text{way}$ \text{a\_b}", r"$\lbrace a \rbrace$"]
+    texts = [r"$\text{a\_b\_c}$", r"$$x_{1} \{ y \}$$", "costs $5 and $6", "x_1", "$a$$b$", "", "$$\n\\{x\n$$ and $\\}$ $"]
+    assert safe(*safe(*texts)) == safe(*texts)
+    assert safe(*texts)[0].count("rule") == 2 and safe(*texts)[1:5] == texts[1:5] and safe(*texts)[6] == "$$\n\\lbrace x\n$$ and $ \\rbrace$ $"
     assert mathspans.formatted(r"a_b $x\_y$", str.upper) == r"A_B $x\_y$"
+    assert mathspans.formatted("\ue000 a $x$ b $$y$$", str.upper) == "\ue000 A $x$ B $$y$$"
+    assert mathspans.formatted("a $x$ b", lambda t: t.split()[0]) == "a $x$ b"
