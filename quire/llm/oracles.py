@@ -12,13 +12,16 @@ parts AS (SELECT a AS id, least(a, min(b)) AS component_id FROM reach GROUP BY a
 
 DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 2))) AS k FROM b WHERE len(w) > 0)),
+win AS (SELECT item_id, k, least(13, len(w)) AS n, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 2))) AS k FROM b WHERE len(w) > 0)),
 places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win)),
-hits AS (SELECT doc_id, p, places.n, item_id FROM places JOIN win ON win.n = places.n AND win.s = array_to_string(w[p:p + places.n - 1], ' ')),
+hits AS (SELECT doc_id, p, k, places.n, item_id FROM places JOIN win ON win.n = places.n AND win.s = array_to_string(w[p:p + places.n - 1], ' ')),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
 found AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id)
+runs AS (SELECT doc_id, item_id::VARCHAR AS item, n + max(p) - min(p) AS words, min(p) - 1 AS doc_word, min(k) - 1 AS item_word FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - k ORDER BY p) AS island FROM hits) GROUP BY doc_id, item_id, n, p - k, island),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, doc_word, item, item_word) = 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
-coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+words::BIGINT AS longest_words, doc_word::BIGINT AS longest_doc_word, item AS longest_item_id, item_word::BIGINT AS longest_item_word FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 EMBEDDINGS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),

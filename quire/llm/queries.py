@@ -33,7 +33,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+    judged = suffix.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+    return judged.select("*", *[F.col(f"longest.{c}").alias(f"longest_{c}") for c in ("words", "doc_word", "item_id", "item_word")]).drop("longest")
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

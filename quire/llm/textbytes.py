@@ -119,6 +119,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * _power("down", n + 1)[starts])
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of its span of ``other``."""
+    n = ends - starts
+    same = n == other_ends - other_starts
+    at = np.flatnonzero(same)
+    n = n[at]
+    last = np.cumsum(n)
+    inner = np.arange(last[-1] if len(last) else 0) - np.repeat(last - n, n)
+    unlike = np.flatnonzero(data[np.repeat(starts[at], n) + inner] != other[np.repeat(other_starts[at], n) + inner])
+    same[at[np.searchsorted(last, unlike, "right")]] = False
+    return same
+
+
 class KeyIndex:
     """Open-addressing table from distinct uint64 keys to their positions; lookups are vectorised."""
 

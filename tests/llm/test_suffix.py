@@ -43,13 +43,61 @@ def tables(spark, seed=3):
 COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def brute_longest(docs, items):
+    """(words, place, item, place in it) of the longest match of each document, with brute force."""
+    out = []
+    for _, text in docs:
+        own, best = words(text), None
+        for item_id, t in items:
+            w = words(t)
+            for q in range(len(w)):
+                for p in range(len(own)):
+                    n = 0
+                    while p + n < len(own) and q + n < len(w) and own[p + n] == w[q + n]:
+                        n += 1
+                    if n and n >= min(13, len(w)):
+                        new = (-n, p, str(item_id), q)
+                        best = new if best is None else min(best, new)
+        out.append(best and (-best[0], *best[1:]))
+    return out
+
+
 @pytest.mark.parametrize("limit", [suffix.BLOCK_BYTES, 150])
 def test_against_brute_force(spark, limit, monkeypatch):
     docs, items, d, b = tables(spark)
-    found = suffix.blocks
-    monkeypatch.setattr(suffix, "blocks", lambda x: found(x, limit))
-    got = sorted(tuple(r) for r in suffix.contamination(d.withColumn("items", d.text), b).select(*COLUMNS).collect())
-    assert got == sorted(brute(docs, items))
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", limit)
+    got = suffix.contamination(d.withColumn("items", d.text).withColumn("longest", d.doc_id).withColumn("_text", d.doc_id), b).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == sorted(brute(docs, items))
+    want = {d: x for (d, _), x in zip(docs, brute_longest(docs, items), strict=True)}
+    assert {r.doc_id: r.longest and tuple(r.longest) for r in got} == want
+    boxed = suffix.contamination(suffix.tb.boxed(d), b, [suffix.tb.BOXED]).collect()
+    assert sorted((r[suffix.tb.BOXED].doc_id, r.n_hit) for r in boxed) == sorted((r.doc_id, r.n_hit) for r in got)
+
+
+def colliding():
+    """Two words of 1,024 letters whose polynomial hashes are equal."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_of_equal_hash(spark):
+    one, two = colliding()
+    data = suffix.np.frombuffer((one + two).encode(), suffix.np.uint8)
+    h = suffix.tb.span_hashes(data, suffix.np.array([0, 1024]), suffix.np.array([1024, 2048]))
+    assert h[0] == h[1]
+    items = [(1, "x " + one + " y"), (2, "p " + two + " q")]
+    docs = [(1, f"x {two} y"), (2, f"x {one} y"), (3, f"p {two} q"), (4, f"p {one} q"), (5, one), (6, f"x {one} y p {two} q")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r[c] for c in COLUMNS) for r in suffix.contamination(*frames).collect())
+    assert got == sorted(brute(docs, items)) and [r[2] for r in got] == [0, 3, 3, 0, 0, 6]
+
+
+def test_very_long_text(spark):
+    passage = " ".join(f"w{k}" for k in range(30))
+    text = "filler words here " * 400_000 + passage + " tail" * 100_000
+    frames = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
+    r = suffix.contamination(*frames).first()
+    assert (r.n_words, r.n_hit, r.contaminated, tuple(r.longest)) == (1_300_030, 30, False, (30, 1_200_000, "1", 0))
 
 
 def test_empty_tables(spark):
