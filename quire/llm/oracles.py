@@ -16,7 +16,7 @@ win AS (SELECT item_id, k, least(13, len(w)) AS n, array_to_string(w[k:k + least
 places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win)),
 hits AS (SELECT doc_id, p, k, places.n, item_id FROM places JOIN win ON win.n = places.n AND win.s = array_to_string(w[p:p + places.n - 1], ' ')),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id)
+found AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id),
 runs AS (SELECT doc_id, item_id::VARCHAR AS item, n + max(p) - min(p) AS words, min(p) - 1 AS doc_word, min(k) - 1 AS item_word FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - k ORDER BY p) AS island FROM hits) GROUP BY doc_id, item_id, n, p - k, island),
 best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, doc_word, item, item_word) = 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
