@@ -1,13 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-The DOM trees of a host's pages are laid over each other: an element is known by its place (the block elements above it and its own class and id)
-and its text. What most pages with different text repeat at the same place, of the host or of one layout (equal containers and language), is a constant: part of the
-template (inside an article element only if most pages of the host do). So is what a smaller share of the host's pages repeats, outside of article elements, unless it is the larger part of a page's remaining text: then it may be an article
-that the host shows several times. Pages of equal text count once. What falls into a varying slot is content, unless the slot itself is of
-a kind that never holds the article (navigation, header, footer, sidebar, notice, advert, form, script, style, comments).
-
-All pages of a host are counted, whole. Wrappers are small, 8 bytes a constant: they are broadcast if their measured size is within ``BROADCAST_BYTES``, else joined to the pages by
-host and layout.
+The pages of a host are aligned by simple tree matching (``alignment``): the frequent skeletons of a host grow into templates, every page votes on
+the slots of the template that it matches best, and the votes say which slot is the content region: the one that holds most of the text that varies. Slots
+outside of it (menus, adverts, footers, whatever they are called) go. Then, within and without, constants go: an element is known by its place
+(the block elements above it and its own class and id) and its text, and what most pages with different text repeat at the same place, of the host or of one
+layout (equal containers and language), is template (inside an article element only if most pages of the host do). So is what a smaller share
+of the host's pages repeats, outside of article elements, unless it is the larger part of a page's remaining text: then it may be an article
+that the host shows several times. Pages of equal text count once.
+
+What tags and labels say (navigation, advert, comments ...) only breaks ties: it decides on slots that vary inside the content region, and on pages that no
+template fits, as of hosts of fewer than three different pages.
+
+All pages of a host vote, whole. Of a host's skeletons the ``SEEDS`` most frequent make its templates; a page unlike them all is judged by itself. Wrappers are
+small, some hundred bytes a template and 8 a constant: they are broadcast if their measured size is within ``BROADCAST_BYTES``, else joined to the pages by
+host, over ``SALTS`` copies so that a large host is many tasks.
 """
 
 from __future__ import annotations
@@ -21,15 +27,20 @@ from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm import alignment as A
+from quire.llm.shared import Scratch
+
 #: Wrappers that a worker keeps.
 KEPT = 1024
 #: Levels of a tree.
 DEEPEST = 150
 BROADCAST_BYTES = 32 << 20
+#: Skeletons of a host that templates are grown from, and copies of a wrapper that its host's pages are dealt over.
+SEEDS, SALTS = 8, 8
 #: Share of the pages of a host or layout that must repeat an element at its place, share that makes it a weak constant, and their least number besides the page itself.
 CONSTANT_SHARE, WEAK_SHARE, CONSTANT_PAGES = 0.6, 0.1, 2
 #: Shares of a page's text above which a form, or an element whose label names another region, is the page's body.
@@ -37,8 +48,12 @@ BULK_FORM, BULK = 0.5, 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that never hold the article.
-DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input label map menu meta nav noscript object option script select style svg template textarea title video".split())
+#: Elements that show no text, or none of the page's.
+UNSEEN = frozenset("audio button canvas datalist embed head iframe input map meta noscript object option script select style svg template textarea title video".split())
+#: Elements that by their meaning don't hold the article.
+DROPPED = UNSEEN | frozenset("aside dialog footer form label menu nav".split())
+#: Elements that are slots of a skeleton.
+SLOTS = frozenset("html body article aside center dialog div dl footer form header main menu nav ol section table tbody td tr ul".split())
 _CLOSES_P = BLOCKS - {"html", "body"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
@@ -290,14 +305,105 @@ def _constants(surveys: list[Survey]) -> dict[int, tuple[list[int], list[int]]]:
     return out
 
 
+class Outline:
+    """A page's skeleton with what its slots hold: letters, letters in links, whether there is a first heading, and a hash of the text. ``at`` gives the slot of an element."""
+
+    def __init__(self, root: Node):
+        self.skeleton = A.Skeleton()
+        self.letters, self.linked, self.titled, self.at = [], [], [], {}
+        self._texts: list[list[bytes]] = []
+        self._slots: dict[tuple[int, str], int] = {}
+        self._walk(root, self._slot("#root", -1), False)
+        for i in range(len(self.letters) - 1, 0, -1):
+            up = self.skeleton.parents[i]
+            self.letters[up] += self.letters[i]
+            self.linked[up] += self.linked[i]
+            self.titled[up] |= self.titled[i]
+            self._texts[up].append(_hash(*self._texts[i]))
+        self.hashes = [int.from_bytes(_hash(*t), "big", signed=True) for t in self._texts]
+
+    def _slot(self, key: str, parent: int) -> int:
+        at = self._slots.get((parent, key))
+        if at is None:
+            at = self._slots[parent, key] = self.skeleton.add(key, parent)
+            for column in (self.letters, self.linked, self.titled):
+                column.append(0)
+            self._texts.append([])
+        return at
+
+    def _walk(self, node: Node, slot: int, link: bool) -> None:
+        self.at[id(node)] = slot
+        for p in node.parts:
+            if p.__class__ is not Node:
+                text = p.strip()
+                if text:
+                    self.letters[slot] += len(text)
+                    self.linked[slot] += len(text) * link
+                    self._texts[slot].append(text.encode("utf-8", "replace"))
+            elif p.tag not in UNSEEN:
+                self.titled[slot] |= p.tag == "h1"
+                below = slot
+                if p.tag in SLOTS:
+                    label = "" if p.tag in ("html", "body") else " ".join(_DIGITS.sub("0", p.label).split())
+                    below = self._slot(f"{p.tag} {label}".rstrip(), slot)
+                self._walk(p, below, link or p.tag == "a")
+
+
+def _induced(outlines: list[Outline], texts: list[int]) -> list[tuple[A.Skeleton, str]]:
+    """The templates of some pages of one host, of those texts, with their decisions, as the tables of ``main_text`` give them."""
+    once = dict(zip(texts, outlines, strict=True)).values()
+    counts = Counter(o.skeleton.encoded() for o in once)
+    found = A.templates([A.Skeleton.decoded(k) for k, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SEEDS]])
+    votes, hashes = [[A.Votes() for _ in t.keys] for t in found], defaultdict(Counter)
+    for o in once:
+        at, pairs = A.placed(o.skeleton, found)
+        for i, t in pairs.items():
+            own = votes[at][t]
+            own.pages, own.letters, own.linked, own.titled = own.pages + 1, own.letters + o.letters[i], own.linked + o.linked[i], own.titled + o.titled[i]
+            hashes[at, t][o.hashes[i]] += 1
+    for (at, t), n in hashes.items():
+        votes[at][t].same = max(n.values())
+    return [(t, A.decided(t, v, v[0].pages)) for t, v in zip(found, votes, strict=True)]
+
+
 class Wrapper:
-    """The constants of a host: strict and weak ones of the whole host (0) and of each layout."""
+    """What is known of a host: its templates with their decisions, and its constants, strict and weak ones of the whole host (0) and of each layout."""
 
-    def __init__(self, constants: dict[int, tuple[Iterable[int], Iterable[int]]] | list[str]):
-        """From keys by group, or from pages, by the rule of ``constants_of``."""
+    def __init__(self, constants: dict[int, tuple[Iterable[int], Iterable[int]]] | list[str], templates: list[tuple[A.Skeleton, str]] = ()):
+        """From keys by group and templates, or from pages, by the rules of ``main_text``."""
         if not isinstance(constants, dict):
-            constants = _constants([Survey(parse(p)) for p in constants])
+            roots = [parse(p) for p in constants]
+            surveys = [Survey(r) for r in roots]
+            templates, constants = _induced([Outline(r) for r in roots], [s.text for s in surveys]), _constants(surveys)
         self.constants = {group: (frozenset(strict), frozenset(weak)) for group, (strict, weak) in constants.items()}
+        self.templates = list(templates)
+        self._shown: dict[str, list[str] | None] = {}
+
+    def region(self, root: Node) -> tuple[list[Node], set[int]] | None:
+        """The page's elements that hold the content, and identities of those in them that don't; None if no template fits, or none of its content slots is there."""
+        if not any(d for _, d in self.templates):
+            return None
+        own = Outline(root)
+        key = own.skeleton.encoded()
+        if key not in self._shown:
+            if len(self._shown) >= KEPT:
+                self._shown.clear()
+            self._shown[key] = A.shown(own.skeleton, self.templates)
+        letters = self._shown[key]
+        if letters is None:
+            return None
+        scope, gone, wait = [], set(), [(root, False)]
+        while wait:
+            node, inside = wait.pop()
+            letter = letters[own.at[id(node)]]
+            if letter == A.DROPPED:
+                gone.add(id(node))
+                continue
+            if letter == A.CONTENT and not inside:
+                scope.append(node)
+                inside = True
+            wait += [(c, inside) for c in reversed(node.children) if id(c) in own.at]
+        return (scope, gone) if scope else None
 
     def template(self, page: Node) -> set[int]:
         """Identities of the page's nodes that are constants of the host."""
@@ -368,11 +474,17 @@ def _find(node: Node, tag: str, template: set[int] | frozenset = frozenset()) ->
 
 
 def extract(html: str | None, wrapper: Wrapper | None) -> str:
-    """The main text, without template and boilerplate: of the smallest scope (the article elements, the main element, the whole page) that holds at least half of what is left of the page."""
+    """The main text, without template and boilerplate: of the wrapper's content region; where there is none, of the smallest scope (the article elements, the main element, the whole page) that holds at least half of what is left of the page."""
     if not html:
         return ""
     root = parse(html)
     template = wrapper.template(root) if wrapper else set()
+    region = wrapper.region(root) if wrapper else None
+    if region:
+        template |= region[1]
+        scope = region[0]
+        if not any(A.whole_page(node.tag) for node in scope):
+            return "\n\n".join(_left(scope, template))
     articles, mains = _find(root, "article", template), _find(root, "main", template)
     inside = {id(h) for node in articles for h in _find(node, "header")}
     # a header inside an article is its heading; elsewhere it is the site's
@@ -391,33 +503,42 @@ def _left(scope: list[Node], template: set[int]) -> list[str]:
     """Blocks of the elements of a scope that are no template."""
     out: list[str] = []
     for node in scope:
-        _blocks(node, template, out, [])
+        if id(node) not in template:
+            _blocks(node, template, out, [])
     return out
 
 
 _held: dict[tuple[str, str], Wrapper | None] = {}
 _schema = T.StructType().add("text", "string").add("n_chars", "long")
+_SURVEYED = "_host string, _text long, _layout long, _keys array<long>, _shape string, _letters array<int>, _linked array<int>, _titled array<int>, _hashes array<long>"
+_TEMPLATES = T.ArrayType(T.StructType().add("skeleton", "string").add("decisions", "string"))
 
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _SURVEYED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
     for batch in batches:
-        texts, layouts, keys = [], [], []
+        rows = []
         for html in batch.column(1).to_pylist():
-            own = Survey(parse(html))
-            texts.append(own.text)
-            layouts.append(own.layout)
-            keys.append(own.keys())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.int64()), pa.array(layouts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["_host", "_text", "_layout", "_keys"])
+            root = parse(html)
+            own, slots = Survey(root), Outline(root)
+            rows.append((own.text, own.layout, own.keys(), slots.skeleton.encoded(), slots.letters, slots.linked, [*map(int, slots.titled)], slots.hashes))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
+
 
+def surveyed(pages: DataFrame) -> DataFrame:
+    """What every page says, from (_host, html); of a host's pages with equal text the least counts."""
+    found = pages.where("length(html) > 0").select("_host", "html").mapInArrow(_surveyed, _SURVEYED)
+    rest = [c for c in found.columns if c not in ("_host", "_text")]
+    return found.groupBy("_host", "_text").agg(F.min(F.struct(*rest)).alias("_s")).select("_host", "_text", "_s.*")
 
-def repeated(pages: DataFrame) -> DataFrame:
-    """(_host, _group, _key, _n): how many pages of each host (group 0) and of each of its layouts have an element, if enough have; a null key stands for all pages. From pages (_host, html).
 
-    Elements are counted with partial aggregates, so a large host is no large task; of pages with equal text the one of the least layout counts.
+def repeated(once: DataFrame) -> DataFrame:
+    """(_host, _group, _key, _n): how many pages of each host (group 0) and of each of its layouts have an element, if enough have; a null key stands for all pages.
+
+    Elements are counted with partial aggregates, so a large host is no large task.
     """
-    found = pages.where("length(html) > 0").select("_host", "html").mapInArrow(_surveyed, "_host string, _text long, _layout long, _keys array<long>")
-    once = found.groupBy("_host", "_text").agg(F.min(F.struct("_layout", "_keys")).alias("_s"))
-    by_group = once.select("_host", F.explode(F.array(F.lit(0).cast("long"), "_s._layout")).alias("_group"), F.col("_s._keys").alias("_keys"))
+    by_group = once.select("_host", F.explode(F.array(F.lit(0).cast("long"), "_layout")).alias("_group"), "_keys")
     spots = by_group.select("_host", "_group", F.explode(F.concat(F.array(F.lit(None).cast("long")), "_keys")).alias("_key"))
     return spots.groupBy("_host", "_group", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") > CONSTANT_PAGES)
 
@@ -431,28 +552,85 @@ def constants_of(counts: DataFrame) -> DataFrame:
     return kept.groupBy("_host", "_group").agg(F.sort_array(F.collect_list(F.when(strict, F.col("_key")))).alias("_strict"), F.sort_array(F.collect_list(F.when(~strict, F.col("_key")))).alias("_weak"))
 
 
-def main_text(pages: DataFrame, keep: list | None = None) -> DataFrame:
-    """``keep`` (default page_id, url) of every page with text and n_chars (its code points). A null or empty html gives an empty text; a url without host, or a null one, belongs to the host ''."""
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [[t.encoded() for t in A.templates([A.Skeleton.decoded(r["_shape"]) for r in sorted(rows, key=lambda r: r["_rank"])])] for rows in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["_host", "_grown"])
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, slots = [], []
+        for shape, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = A.Skeleton.decoded(shape)
+            k, pairs = A.placed(own, [A.Skeleton.decoded(t) for t in found])
+            at.append(k)
+            slots.append([pairs.get(i, -1) for i in range(len(own.keys))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array(slots, pa.list_(pa.int32()))], names=["_host", "_shape", "_at", "_slots"])
+
+
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for found, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            kept = [A.Skeleton.decoded(t) for t in found]
+            votes = [[A.Votes() for _ in t.keys] for t in kept]
+            for r in rows:
+                votes[r["_at"]][r["_slot"]] = A.Votes(r["pages"], r["letters"], r["linked"], r["titled"], r["same"])
+            out.append([{"skeleton": text, "decisions": A.decided(t, v, v[0].pages)} for text, t, v in zip(found, kept, votes, strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("skeleton", pa.string()), ("decisions", pa.string())])))], names=["_host", "_templates"])
+
+
+def templates_of(once: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_host, _templates): each host's templates with their decisions. All pages vote, by partial aggregates; a host's templates, at most ``SEEDS``, are one row."""
+    counts = once.groupBy("_host", "_shape").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("_host").orderBy(F.desc("_n"), "_shape")
+    frequent = counts.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SEEDS)
+    grown = scratch.save(frequent.groupBy("_host").agg(F.collect_list(F.struct("_rank", "_shape")).alias("_rows")).mapInArrow(_grown, "_host string, _grown array<string>"), "grown")
+    placed = counts.select("_host", "_shape").join(grown, "_host").select("_host", "_shape", "_grown").mapInArrow(_aligned, "_host string, _shape string, _at int, _slots array<int>")
+    placed = scratch.save(placed.where("_at >= 0"), "placed").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = once.withColumn("_salt", F.pmod("_text", F.lit(SALTS)).cast("int")).join(placed, ["_host", "_shape", "_salt"])
+    spots = dealt.select("_host", "_at", F.explode(F.arrays_zip("_slots", "_letters", "_linked", "_titled", "_hashes")).alias("v")).where("v._slots >= 0")
+    by_text = spots.groupBy("_host", "_at", F.col("v._slots").alias("_slot"), "v._hashes").agg(F.count("*").alias("n"), *[F.sum(f"v._{c}").alias(c) for c in ("letters", "linked", "titled")])
+    votes = by_text.groupBy("_host", "_at", "_slot").agg(F.sum("n").alias("pages"), *[F.sum(c).alias(c) for c in ("letters", "linked", "titled")], F.max("n").alias("same"))
+    rows = votes.groupBy("_host").agg(F.collect_list(F.struct("_at", "_slot", "pages", "letters", "linked", "titled", "same")).alias("_rows"))
+    return grown.join(rows, "_host").select("_host", "_grown", "_rows").mapInArrow(_voted, T.StructType().add("_host", "string").add("_templates", _TEMPLATES))
+
+
+def _read(templates: list | None) -> list[tuple[A.Skeleton, str]]:
+    return [(A.Skeleton.decoded(t["skeleton"]), t["decisions"]) for t in templates or ()]
+
+
+def main_text(pages: DataFrame, keep: list | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """``keep`` (default page_id, url) of every page with text and n_chars (its code points).
+
+    A null or empty html gives an empty text; a url without host, or a null one, belongs to the host ''. Pages are read whole, whatever their
+    length. Rows that repeat are each extracted and vote once. Skeletons that are equally frequent stand in order of their text, so reruns agree. Without pages there are no rows; columns of
+    other names, clashing ones too, stay out.
+    """
     spark = pages.sparkSession
+    scratch = scratch or Scratch(spark)
     keep = keep or ["page_id", "url"]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     own = pages.withColumn("_host", host)
-    counts = repeated(own).persist()
-    wrappers = constants_of(counts).persist()
-    size = wrappers.agg(F.sum(64 + 8 * (F.size("_strict") + F.size("_weak")))).first()[0] or 0
-    counts.unpersist()
+    once = scratch.save(surveyed(own), "once")
+    constants = scratch.save(constants_of(scratch.save(repeated(once), "counts")), "constants")
+    templates = scratch.save(templates_of(once, scratch), "templates")
+    scratch.drop("once", "counts", "grown", "placed")
+    size = (constants.agg(F.sum(64 + 8 * (F.size("_strict") + F.size("_weak")))).first()[0] or 0) + (templates.agg(F.sum(F.aggregate("_templates", F.lit(64).cast("long"), lambda n, t: n + 2 * F.length(t["skeleton"]) + F.length(t["decisions"])))).first()[0] or 0)
     call = uuid.uuid4().hex
     picked = [*keep, "_host", F.col("html").alias("_html")]
     fields = own.select(*keep).schema.fields
     n = len(fields)
     if size <= BROADCAST_BYTES:
-        held: dict[str, dict] = {}
-        for r in wrappers.toLocalIterator():
-            held.setdefault(r["_host"], {})[r["_group"]] = (array("q", r["_strict"]), array("q", r["_weak"]))
-        wrappers.unpersist()
+        held: dict[str, tuple[dict, list]] = {}
+        for r in constants.toLocalIterator():
+            held.setdefault(r["_host"], ({}, []))[0][r["_group"]] = (array("q", r["_strict"]), array("q", r["_weak"]))
+        for r in templates.toLocalIterator():
+            held.setdefault(r["_host"], ({}, []))[1].extend((t["skeleton"], t["decisions"]) for t in r["_templates"])
         shared = spark.sparkContext.broadcast(held)
         source = own.select(*picked)
-    else:  # each page gets the constants of its host and of its own layout
+    else:  # each page gets the templates of its host and the constants of its host and of its own layout
         shared = None
 
         def with_layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,23 +640,26 @@ def main_text(pages: DataFrame, keep: list | None = None) -> DataFrame:
 
         named = own.select(*picked)
         source = named.mapInArrow(with_layout, T.StructType([*named.schema.fields, T.StructField("_group", T.LongType())]))
-        whole = wrappers.where("_group = 0").select("_host", F.col("_strict").alias("_s0"), F.col("_weak").alias("_w0"))
-        source = source.join(wrappers.select("_host", "_group", F.col("_strict").alias("_s1")), ["_host", "_group"], "left").join(whole, "_host", "left")
-        source = source.select(*[f.name for f in fields], "_host", "_html", "_group", "_s0", "_w0", "_s1")
+        source = source.withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(SALTS)).cast("int"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        by_host = templates.join(constants.where("_group = 0").select("_host", F.col("_strict").alias("_s0"), F.col("_weak").alias("_w0")), "_host", "full").select("_host", "_s0", "_w0", "_templates", copies)
+        by_layout = constants.where("_group <> 0").select("_host", "_group", F.col("_strict").alias("_s1"), copies)
+        source = source.join(by_layout, ["_host", "_group", "_salt"], "left").join(by_host, ["_host", "_salt"], "left")
+        source = source.select(*[f.name for f in fields], "_host", "_html", "_group", "_s0", "_w0", "_s1", "_templates")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, texts = batch.column(n).to_pylist(), []
             for k, name in enumerate(hosts):
                 if shared is None:
-                    group, *keys = (batch.column(i)[k].as_py() for i in range(n + 2, n + 6))
-                    own_wrapper = Wrapper({0: (keys[0] or (), keys[1] or ()), group: (keys[2] or (), ())})
+                    group, *keys, found = (batch.column(i)[k].as_py() for i in range(n + 2, n + 7))
+                    own_wrapper = Wrapper({0: (keys[0] or (), keys[1] or ()), group: (keys[2] or (), ())}, _read(found))
                 else:
                     if (call, name) not in _held:
                         if len(_held) >= KEPT:
                             _held.clear()
                         got = shared.value.get(name)
-                        _held[call, name] = Wrapper(got) if got else None
+                        _held[call, name] = Wrapper(got[0], [(A.Skeleton.decoded(t), d) for t, d in got[1]]) if got else None
                     own_wrapper = _held[call, name]
                 texts.append(extract(batch.column(n + 1)[k].as_py(), own_wrapper))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=[*[f.name for f in fields], "text", "n_chars"])
