@@ -1,116 +1,142 @@
 """Near-duplicate documents by a chosen-path set similarity join (after Christiani, Pagh and Sivertsen, 2018).
 
-A document's set is its distinct shingles. Documents with equal sets are one class from the start. In each of ``TREES``
+A document's set is its distinct shingles. Documents of equal words (by SHA-256) are one class from the start. In each of ``TREES``
 independent trees every class branches, at every node, to ``BRANCHES`` children: the tokens chosen are its minwise ones under hash functions
-that belong to the node. Two sets of similarity j agree on a choice with probability j, so for two or more branches and j well above a half the
-chance to share a node of any depth stays near that of the first level (0.97 a tree at 0.85; three trees leave
-2 in 100,000 such pairs apart). Nodes whose sets together are small are compared exhaustively; larger ones branch on; those that
-remain large at ``DEPTHS[-1]`` are compared exhaustively too, in blocks and pairs of blocks.
-
-A comparison walks a node's classes breadth-first: only classes not yet reached are compared, on full sets, so a node of n copies takes about n
-comparisons and leaves fewer than n links, and its connected parts are found exactly. The first tree's components spare the later trees
-every node that lies inside one component, and nodes with the same members are compared once.
+that belong to the node (of the functions of its tree and level). Two sets of similarity j agree on a choice with probability j, so for two branches and
+j well above a half the chance to share a node of any depth stays near that of the first level (0.97 a tree at 0.85). Nodes that are cheap to compare are
+compared exhaustively; others branch on, ``DEPTH`` levels at most.
+
+A comparison walks a node's classes breadth-first: only classes not yet reached are compared, on their full sets of shingles (words are told by their
+bytes, no hash decides), so a node of n copies takes about n comparisons and leaves fewer than n links, and its connected parts are found exactly.
+
+Large groups of near copies are not branched on: first the costly nodes of one tree are compared with a few pivots each, block by
+block, which joins such a group in linear time. Later, nodes that lie inside one component need nothing; of a node whose classes outside its largest component fit into
+one block, only these are compared with all blocks; what remains costly at the last level is compared in pairs of blocks, without
+those inside the largest component. Nodes with the same members are compared once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import graph
 from quire.llm import textbytes as tb
 from quire.llm.shared import Scratch
 
-TREES, BRANCHES, DEPTHS = 3, 2, (2, 4)
-#: Shingles that a node, or each half of a pair of blocks, may hold to be compared in one task.
-NODE_SHINGLES = 1 << 20
-#: Minwise hashes kept of a set: the first TREES * BRANCHES serve the roots, the others the nodes below.
-SIGNATURE = 32
+TREES, BRANCHES, DEPTH, POOL = 3, 2, 5, 4
+#: Shingles that a node, or each half of a pair of blocks, may hold to be compared in one task, and classes times shingles.
+NODE_SHINGLES, NODE_WORK = 1 << 20, 1 << 30
+#: Pivots of a costly node; copies from which a class counts as hot: a thousandth of all rows, and at least this many.
+PIVOTS, HOT = 8, 1_000
+#: Minwise hashes kept of a set: for each tree the roots' and, for each level below, those that its nodes choose from.
+_PER_TREE = BRANCHES + POOL * (DEPTH - 1)
+SIGNATURE = TREES * _PER_TREE
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 _ADDENDS = np.random.default_rng(78).integers(0, 2**63, SIGNATURE, dtype=np.uint64)
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: words are runs without ASCII white space, A-Z lower-cased."""
-    data = tb.LOWER[data]
-    starts, ends, first = tb.words(data, offsets, tb.VISIBLE)
-    h = tb.span_hashes(data, starts, ends)
-    odd = np.uint64(0xC2B2AE3D27D4EB4F)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        own = h[a:b]
-        n = min(size, len(own))
-        if not n:
-            yield own
-            continue
-        rolled = np.full(len(own) - n + 1, n, np.uint64)
-        for k in range(n):
-            rolled = rolled * odd + own[k : len(own) - n + 1 + k]
-        yield np.unique(tb.mixed(rolled))
-
-
-def _print(own: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit fingerprints of a set."""
-    with np.errstate(over="ignore"):
-        return int(tb.mixed(own).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(tb.mixed(own * np.uint64(0x9FB21C651E98DF25))).astype(np.int64))
+#: Bytes of a text that are split into words at once.
+_PIECE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, piece by piece: runs without ASCII white space, A-Z lower-cased."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _PIECE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def word_numbers(text: bytes, seen: dict[bytes, int]) -> np.ndarray:
+    """The words as numbers from 1 on; ``seen`` numbers the distinct words and grows."""
+    found = [np.zeros(0, np.int64)]
+    for words in pieces(text):
+        found.append(np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words), np.int64, len(words)))
+    return np.concatenate(found)
+
+
+def shingled(texts: list[np.ndarray], size: int, words: int) -> list[np.ndarray]:
+    """The distinct shingles of each text (numbers of words up to ``words``) as sorted numbers that are equal for equal shingles of all texts. A shorter text is one shingle, filled up with zeros."""
+    width = max(1, words.bit_length())
+    padded = [np.r_[t, np.zeros(size - len(t), np.int64)] if 0 < len(t) < size else t for t in texts]
+    counts = [max(0, len(t) - size + 1) for t in padded]
+    if width * size <= 63:
+        out = []
+        for t, n in zip(padded, counts, strict=True):
+            own = np.zeros(n, np.int64)
+            for k in range(size):
+                own = own << width | t[k : n + k]
+            out.append(np.unique(own))
+        return out
+    number = np.concatenate([t[:n] for t, n in zip(padded, counts, strict=True)]) if texts else np.zeros(0, np.int64)
+    for k in range(1, size):
+        more = np.concatenate([t[k : n + k] for t, n in zip(padded, counts, strict=True)])
+        # renumbered at each step, so that a pair of numbers fits
+        number = np.unique(number * (words + 1) + more, return_inverse=True)[1]
+    return [np.unique(own) for own in np.split(number, np.cumsum(counts)[:-1])] if texts else []
 
 
 def _signature(own: np.ndarray) -> np.ndarray:
-    """The least value of every hash function over a set, as 31 bits."""
+    """The least value of every hash function over a set of hashes, as 31 bits."""
     least = np.full(SIGNATURE, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for a in range(0, len(own), 1 << 14):
-        least = np.minimum(least, (own[None, a : a + (1 << 14)] * _MULTIPLIERS[:, None] + _ADDENDS[:, None]).min(axis=1))
+    for a in range(0, len(own), 1 << 12):
+        least = np.minimum(least, (own[None, a : a + (1 << 12)] * _MULTIPLIERS[:, None] + _ADDENDS[:, None]).min(axis=1))
     return (least >> np.uint64(33)).astype(np.int32)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, p, q, signature) of every row; fingerprints and signature are null for an empty set."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, p, q, rows = [], [], [], []
-            for _, _, data, offsets in tb.chunks(batch.column(1)):
-                for own in shingle_sets(data, offsets, size):
-                    n.append(len(own))
-                    a, b = _print(own) if len(own) else (None, None)
-                    p.append(a)
-                    q.append(b)
-                    rows.append(_signature(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "p", "q", "signature"])
-
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_shingles long, p long, q long, signature array<int>")
-
+class _Hashes:
+    """Hashes of numbered words, kept as the numbering grows."""
 
-def _branched(nodes: DataFrame, level: int) -> DataFrame:
-    """Each node's classes in its children; ``nodes`` has c, n_shingles, signature, path."""
-    roots = TREES * BRANCHES
-    if level == 0:  # path is the tree's number
-        at = F.col("path") * BRANCHES + F.col("_j") + 1
-    else:
-        at = F.pmod(F.xxhash64("path", "_j", F.lit(level)), F.lit(SIGNATURE - roots)) + roots + 1
-    out = nodes.withColumn("_j", F.explode(F.array(*[F.lit(j).cast("long") for j in range(BRANCHES)])))
-    return out.withColumn("path", F.xxhash64("path", "_j", F.lit(level), F.element_at("signature", at.cast("int")))).drop("_j")
+    def __init__(self):
+        self.held, self.n = np.zeros(1 << 12, np.uint64), 0
 
+    def of(self, number: np.ndarray, seen: dict[bytes, int]) -> np.ndarray:
+        if len(seen) > len(self.held):
+            self.held = np.r_[self.held, np.zeros(len(seen), np.uint64)]
+        new = len(seen) - self.n
+        for k, w in enumerate(islice(reversed(seen), new)):
+            self.held[len(seen) - 1 - k] = xxhash.xxh3_64_intdigest(w)
+        self.n = len(seen)
+        return self.held[number - 1]
 
-def _members(classes: DataFrame) -> DataFrame:
-    """(tree, path, c, n_shingles) at the first depth compared."""
-    nodes = classes.withColumn("tree", F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)]))).withColumn("path", F.col("tree"))
-    for level in range(DEPTHS[0]):
-        nodes = _branched(nodes, level)
-    return nodes.select("tree", "path", "c", "n_shingles")
 
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, p, signature) of every row: p is the SHA-256 of its words; p and signature are null without words."""
+    odd = np.uint64(0xC2B2AE3D27D4EB4F)
 
-def _weighed(nodes: DataFrame) -> DataFrame:
-    """Every path that holds classes of different components: its classes, its shingles, and two fingerprints of its members."""
-    return nodes.groupBy("path").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").drop("lo", "hi")
+    def sketch(text: bytes, seen: dict[bytes, int], hashes: _Hashes) -> tuple:
+        digest, found = sha256(), [np.zeros(0, np.int64)]
+        for words in pieces(text):
+            if words:
+                digest.update(b" ".join(words) + b" ")
+            found.append(np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words), np.int64, len(words)))
+        number = np.concatenate(found)
+        if not len(number):
+            return 0, None, None
+        own = hashes.of(number, seen)
+        n = min(size, len(own))
+        rolled = np.full(len(own) - n + 1, n, np.uint64)
+        for k in range(n):
+            rolled = rolled * odd + own[k : len(own) - n + 1 + k]
+        return len(shingled([number], size, len(seen))[0]), digest.digest(), _signature(tb.mixed(rolled))
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, hashes = {}, _Hashes()
+            rows = [sketch(t or b"", seen, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "p", "signature"])
 
-def _once(paths: DataFrame) -> DataFrame:
-    """One path of those that have the same members."""
-    return paths.groupBy("n", "weight", "x", "y").agg(F.min("path").alias("path"))
+    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_shingles long, p binary, signature array<int>")
 
 
 def connecting_links(sets: list[np.ndarray], known: np.ndarray, similar: tuple[int, int], half: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -148,15 +174,105 @@ def connecting_links(sets: list[np.ndarray], known: np.ndarray, similar: tuple[i
     return links
 
 
-def _compared(members: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _branched(nodes: DataFrame, level: int) -> DataFrame:
+    """Each node's classes in its children; ``nodes`` has tree, path and signature."""
+    chosen = [F.lit(j) for j in range(BRANCHES)]
+    if level:  # different functions of the level's, chosen by the node
+        first = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(POOL))
+        chosen = [BRANCHES + POOL * (level - 1) + F.pmod(first + j, F.lit(POOL)) for j in range(BRANCHES)]
+    values = F.array(*[F.element_at("signature", (F.col("tree") * _PER_TREE + at + 1).cast("int")) for at in chosen])
+    out = nodes.select("*", F.posexplode(values).alias("_j", "_value"))
+    return out.withColumn("path", F.xxhash64("path", "_j", F.lit(level), "_value")).drop("_j", "_value", "signature")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(tree, path, c, n_shingles) at the first level."""
+    trees = F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("tree")
+    return _branched(classes.select("c", "n_shingles", "signature", trees).withColumn("path", F.col("tree")), 0)
+
+
+def _weighed(nodes: DataFrame) -> DataFrame:
+    """Every path that holds classes of different components: its classes, its shingles, two fingerprints of its members, and the component that holds most of its shingles, with these."""
+    parts = nodes.groupBy("path", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
+    found = parts.groupBy("path").agg(F.sum("n").alias("n"), F.sum("w").alias("weight"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("w", "component")).alias("_m"), F.count("*").alias("parts"))
+    return found.where("parts > 1").select("path", "n", "weight", "x", "y", F.col("_m.w").alias("most"), F.col("_m.component").alias("major"))
+
+
+def _once(paths: DataFrame) -> DataFrame:
+    """One path of those that have the same members."""
+    return paths.groupBy("n", "weight", "x", "y").agg(F.min(F.struct("path", "most", "major")).alias("p")).select("n", "weight", "p.*")
+
+
+_SIDES = ["path", "block", "side", "c", "component"]
+
+
+def _wholes(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    return nodes.join(paths.select("path"), "path").select("path", F.lit(0).cast("long").alias("block"), F.lit(-1).alias("side"), "c", "component")
+
+
+def _blocks(weight: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(weight * 2 / NODE_SHINGLES)).cast("long")
+
+
+def _pivoted(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Comparisons of each path's classes, in blocks, with its pivots: those of the least hashes."""
+    dealt = nodes.join(paths.select("path", F.least(_blocks(F.col("weight")), "n").alias("m")), "path")
+    least = [F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("h"), "c", "component")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = dealt.groupBy("path").agg(F.any_value("m").alias("m"), *least)
+    pivots = pivots.select("path", "m", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.c", f"p{k}.component") for k in range(PIVOTS)]))).alias("p"))
+    pivots = pivots.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("block"), F.lit(1).alias("side"), "p.c", "p.component")
+    return dealt.select("path", F.pmod(F.xxhash64("c", F.lit("block")), F.col("m")).alias("block"), F.lit(0).alias("side"), "c", "component").union(pivots)
+
+
+def _paired(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Comparisons of each path's classes in pairs of blocks, a block with itself included, but none between blocks of its largest component."""
+    rest = F.col("weight") - F.col("most")
+    sizes = paths.select("path", "major", F.least(_blocks(F.col("most")), "n").alias("mg"), F.least(_blocks(rest), "n").alias("mr"))
+    dealt = nodes.join(sizes, "path").withColumn("_inner", F.col("component") == F.col("major"))
+    h = F.xxhash64("c", F.lit("block"))
+    # blocks of the largest component are numbered first
+    i = F.when(F.col("_inner"), F.pmod(h, F.col("mg"))).otherwise(F.col("mg") + F.pmod(h, F.col("mr")))
+    j = F.explode(F.sequence(F.when(F.col("_inner"), F.col("mg")).otherwise(F.lit(0).cast("long")), F.col("mg") + F.col("mr") - 1))
+    dealt = dealt.withColumn("i", i).withColumn("j", j)
+    lo, hi = F.least("i", "j"), F.greatest("i", "j")
+    return dealt.select("path", (1 + lo * (F.col("mg") + F.col("mr")) + hi).alias("block"), F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1).alias("side"), "c", "component")
+
+
+def _assigned(nodes: DataFrame, classes: DataFrame, scratch: Scratch, name: str, pivot: bool) -> DataFrame:
+    """The comparisons of some trees (path, block, side, c, component). With ``pivot`` costly nodes are compared with pivots only."""
+    out = None
+    for level in range(1, DEPTH + 1):
+        weighed = scratch.save(_weighed(nodes), f"weighed-{name}-{level}")
+        fits = (F.col("weight") <= NODE_SHINGLES) & (F.col("n") * F.col("weight") <= NODE_WORK)
+        found = _wholes(nodes, _once(weighed.where(fits)))
+        out = found if out is None else out.union(found)
+        costly = weighed.where(~fits)
+        if costly.isEmpty():
+            return out
+        if pivot:
+            return out.union(_pivoted(nodes, _once(costly)))
+        lean = F.lit(True) if level == DEPTH else 2 * (F.col("weight") - F.col("most")) <= NODE_SHINGLES
+        out = out.union(_paired(nodes, _once(costly.where(lean))))
+        if level == DEPTH:
+            break
+        deep = nodes.join(costly.where(~lean).select("path"), "path", "left_semi").join(classes.select("c", "signature"), "c")
+        nodes = scratch.save(_branched(deep, level), f"nodes-{name}-{level + 1}")
+    return out
+
+
+def _compared(members: DataFrame, sets: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
     """Links (a, b) within each (path, block); rows of side 0 and 1 are two halves, of side -1 one whole."""
 
     def linked(rows: list[tuple]) -> pa.RecordBatch:
-        rows = [*{(r[0], r[3]): r for r in rows}.values()]
+        rows = [*dict.fromkeys(rows)]
         ids = [r[0] for r in rows]
         known = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1]
         half = np.array([r[2] for r in rows])
-        links = connecting_links([np.frombuffer(r[3], np.uint64) for r in rows], known, similar, None if half[0] < 0 else half) if len(rows) > 1 else []
+        links = []
+        if known.max() and (half[0] < 0 or half.min() < half.max()):
+            seen: dict[bytes, int] = {}
+            numbers = [word_numbers(r[3], seen) for r in rows]
+            links = connecting_links(shingled(numbers, size, len(seen)), known, similar, None if half[0] < 0 else half)
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,78 +283,51 @@ def _compared(members: DataFrame, sets: DataFrame, similar: tuple[int, int]) ->
                     if rows:
                         yield linked(rows)
                     key, rows = (path, block), []
-                rows.append(row)
+                rows.append(tuple(row))
         if rows:
             yield linked(rows)
 
-    joined = members.join(sets, "c").select("path", "block", "c", "component", "side", "shingles")
+    joined = members.join(sets, "c").select("path", "block", "c", "component", "side", "text")
     return joined.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(apply, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(c, shingles): the whole set of every row whose id is wanted, as sorted 64-bit integers."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in tb.chunks(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(data, offsets, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["c", "shingles"])
-
-    # the same plan at every size: without the hint a short list would be broadcast
-    return docs.select(F.col("doc_id").alias("c"), "text").join(wanted.hint("merge"), "c", "left_semi").mapInArrow(apply, "c long, shingles binary").where(F.octet_length("shingles") > 0)
-
-
-def _assigned(nodes: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The comparisons of some trees: (path, block, side, c, component)."""
-    whole = [F.lit(0).cast("long").alias("block"), F.lit(-1).alias("side")]
-    columns = ["path", "block", "side", "c", "component"]
-    weighed = scratch.save(_weighed(nodes), f"weighed-{name}")
-    small = _once(weighed.where(F.col("weight") <= NODE_SHINGLES)).select("path")
-    out = nodes.join(small, "path").select("*", *whole).select(*columns)
-    big = weighed.where(F.col("weight") > NODE_SHINGLES).select("path")
-    if big.isEmpty():
-        return out
-    deep = nodes.join(big, "path", "left_semi").join(classes.select("c", "signature"), "c")
-    for level in range(*DEPTHS):
-        deep = _branched(deep, level)
-    deep = scratch.save(deep.select("path", "c", "n_shingles", "component").distinct(), f"deep-{name}")
-    weighed = scratch.save(_weighed(deep), f"weighed-deep-{name}")
-    small = _once(weighed.where(F.col("weight") <= NODE_SHINGLES)).select("path")
-    out = out.union(deep.join(small, "path").select("*", *whole).select(*columns))
-    # blocks by a hash of the class; every pair of blocks is one comparison, a block with itself included
-    large = _once(weighed.where(F.col("weight") > NODE_SHINGLES)).select("path", F.ceil(F.col("weight") * 2 / NODE_SHINGLES).alias("m"))
-    dealt = deep.join(large, "path").withColumn("i", F.pmod(F.xxhash64("c", F.lit("block")), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    lo, hi = F.least("i", "j"), F.greatest("i", "j")
-    return out.union(dealt.select("path", (1 + lo * F.col("m") + hi).alias("block"), F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1).alias("side"), "c", "component"))
-
-
 def similar_documents(docs: DataFrame, size: int = 3, similar: tuple[int, int] = (85, 100), scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: component_id is the smallest doc_id that links reach; a link is a Jaccard similarity of similar[0] / similar[1] or more.
 
-    Rows without words are linked with nothing; a text of fewer than ``size`` words is one shingle. Rows with a null id are linked with nothing, have
-    no component and are kept. Rows that repeat an id are one document: what either links to is linked. Every link is confirmed on full sets.
+    Rows without words, or with a null text, are linked with nothing; a text of fewer than ``size`` words is one shingle. Rows with a null id are linked with nothing, have
+    no component and are kept. Rows that repeat an id are one document: what either links to is linked, and each such row is returned. Every link is confirmed on full
+    sets of shingles, of texts of any length; a tie at the threshold is a link. Without documents there are no rows; other columns, whatever their names, stay out.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = scratch.save(sketches(docs, size), "sketches")
     usable = sketched.where("p is not null and doc_id is not null")
-    classes = scratch.save(usable.groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("c"), F.any_value("signature").alias("signature")), "classes")
+    classes = scratch.save(usable.groupBy("p").agg(F.min("doc_id").alias("c"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"), F.count("*").alias("copies")), "classes")
     several = usable.groupBy("doc_id").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi").select("doc_id")
-    links = scratch.save(usable.join(several, "doc_id", "left_semi").join(classes, ["p", "q", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("c").alias("b")), "links")
+    links = scratch.save(usable.join(several, "doc_id", "left_semi").join(classes.select("p", "c"), "p").select(F.col("doc_id").alias("a"), F.col("c").alias("b")), "links")
     every = _members(classes)
     shared = every.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("path")
     nodes = scratch.save(every.join(shared, "path", "left_semi"), "nodes")
-    sets = scratch.save(_sets(docs, nodes.select("c").distinct(), size), "sets")
+    # the same plan at every size: without the hint a short list would be broadcast
+    texts = docs.select(F.col("doc_id").alias("c"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    sets = scratch.save(texts.join(nodes.select("c").distinct().hint("merge"), "c", "left_semi"), "sets")
     known = None
-    for turn, trees in enumerate((F.col("tree") == 0, F.col("tree") > 0)):
+    for turn, trees in enumerate(("tree = 0", "true")):
         own = nodes.where(trees)
-        own = own.withColumn("component", F.col("c")) if known is None else own.join(known.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        own = own.withColumn("component", F.col("c")) if known is None else scratch.save(own.join(known.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "own")
         if turn:
-            scratch.drop(f"links-{turn - 1}")
-        links = (known.select(F.col("node").alias("a"), F.col("component").alias("b")) if turn else links).union(scratch.save(_compared(_assigned(own, classes, scratch, f"{turn}"), sets, similar), f"links-{turn}"))
-        known = scratch.save(graph.components(links, scratch, f"stars-{turn}"), f"known-{turn}")
-        scratch.drop(f"weighed-{turn}", f"deep-{turn}", f"weighed-deep-{turn}")
-    scratch.drop("nodes", "sets", "links", "links-1", "known-0")
-    labelled = classes.join(known.withColumnRenamed("node", "c"), "c", "left").select("p", "q", "n_shingles", F.coalesce("component", "c").alias("component_id"))
+            links = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = scratch.save(_compared(_assigned(own, classes, scratch, f"{turn}", not turn), sets, size, similar), f"links-{turn}")
+        known = scratch.save(graph.components(links.union(found), scratch, f"stars-{turn}"), f"known-{turn}")
+        scratch.drop(f"links-{turn}", *[f"{t}-{turn}-{level}" for t in ("weighed", "nodes") for level in range(1, DEPTH + 1)])
+    scratch.drop("nodes", "own", "sets", "links", "known-0")
+    labelled = classes.join(known.withColumnRenamed("node", "c"), "c", "left").select("p", F.coalesce("component", "c").alias("component_id"), "copies")
+    # a thousand classes can be hot at most: they are broadcast; rows without words join nothing
+    hot = F.col("copies") >= F.greatest(F.lit(HOT), F.lit(sketched.count() // 1000 + 1))
+    labelled = scratch.save(labelled.select("p", "component_id", hot.alias("hot")), "labelled")
+    rows = sketched.drop("signature")
+    first = rows.where("p is not null").join(F.broadcast(labelled.where("hot").select("p", "component_id")), "p", "left")
+    cold = first.where("component_id is null").drop("component_id").join(labelled.where("not hot").select("p", "component_id").hint("merge"), "p", "left")
+    out = first.where("component_id is not null").unionByName(cold).unionByName(rows.where("p is null").withColumn("component_id", F.col("doc_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sketched.drop("signature").join(labelled, ["p", "q", "n_shingles"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
