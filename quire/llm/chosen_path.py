@@ -18,9 +18,10 @@ those inside the largest component. Nodes with the same members are compared onc
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from quire.llm import graph
 from quire.llm import textbytes as tb
 from quire.llm.shared import Scratch
 
-TREES, BRANCHES, DEPTH, POOL = 3, 2, 5, 4
+TREES, BRANCHES, FIRST, DEPTH, POOL = 3, 2, 2, 5, 4
 #: Shingles that a node, or each half of a pair of blocks, may hold to be compared in one task, and classes times shingles.
 NODE_SHINGLES, NODE_WORK = 1 << 20, 1 << 30
 #: Pivots of a costly node; copies from which a class counts as hot: a thousandth of all rows, and at least this many.
@@ -40,8 +41,8 @@ PIVOTS, HOT = 8, 1_000
 #: Minwise hashes kept of a set: for each tree the roots' and, for each level below, those that its nodes choose from.
 _PER_TREE = BRANCHES + POOL * (DEPTH - 1)
 SIGNATURE = TREES * _PER_TREE
-_MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
-_ADDENDS = np.random.default_rng(78).integers(0, 2**63, SIGNATURE, dtype=np.uint64)
+_MULTIPLIERS = np.random.default_rng(77).integers(1, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
+_ADDENDS = np.random.default_rng(78).integers(0, 2**32, SIGNATURE, dtype=np.uint32)
 #: Bytes of a text that are split into words at once.
 _PIECE = 1 << 20
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -57,12 +58,19 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def word_numbers(text: bytes, seen: dict[bytes, int]) -> np.ndarray:
-    """The words as numbers from 1 on; ``seen`` numbers the distinct words and grows."""
+def numbering() -> defaultdict[bytes, int]:
+    """Numbers words from 1 on as they are looked up."""
+    return defaultdict(count(1).__next__)
+
+
+def word_numbers(text: bytes, seen: defaultdict[bytes, int], digest=None) -> np.ndarray:
+    """The words as numbers; ``digest``, if given, takes them in."""
     found = [np.zeros(0, np.int64)]
     for words in pieces(text):
-        found.append(np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words), np.int64, len(words)))
-    return np.concatenate(found)
+        if digest and words:
+            digest.update(b" ".join(words) + b" ")
+        found.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+    return np.concatenate(found) if len(found) > 2 else found[-1]
 
 
 def shingled(texts: list[np.ndarray], size: int, words: int) -> list[np.ndarray]:
@@ -88,10 +96,12 @@ def shingled(texts: list[np.ndarray], size: int, words: int) -> list[np.ndarray]
 
 def _signature(own: np.ndarray) -> np.ndarray:
     """The least value of every hash function over a set of hashes, as 31 bits."""
-    least = np.full(SIGNATURE, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for a in range(0, len(own), 1 << 12):
-        least = np.minimum(least, (own[None, a : a + (1 << 12)] * _MULTIPLIERS[:, None] + _ADDENDS[:, None]).min(axis=1))
-    return (least >> np.uint64(33)).astype(np.int32)
+    high, least = (own >> np.uint64(32)).astype(np.uint32), np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(high), 1 << 10):
+        values = np.multiply.outer(_MULTIPLIERS, high[a : a + (1 << 10)])
+        values ^= _ADDENDS[:, None]
+        np.minimum(least, values.min(axis=1), out=least)
+    return (least >> np.uint32(1)).astype(np.int32)
 
 
 class _Hashes:
@@ -114,13 +124,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, p, signature) of every row: p is the SHA-256 of its words; p and signature are null without words."""
     odd = np.uint64(0xC2B2AE3D27D4EB4F)
 
-    def sketch(text: bytes, seen: dict[bytes, int], hashes: _Hashes) -> tuple:
-        digest, found = sha256(), [np.zeros(0, np.int64)]
-        for words in pieces(text):
-            if words:
-                digest.update(b" ".join(words) + b" ")
-            found.append(np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words), np.int64, len(words)))
-        number = np.concatenate(found)
+    def sketch(text: bytes, seen: defaultdict[bytes, int], hashes: _Hashes) -> tuple:
+        digest = sha256()
+        number = word_numbers(text, seen, digest)
         if not len(number):
             return 0, None, None
         own = hashes.of(number, seen)
@@ -132,7 +138,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, hashes = {}, _Hashes()
+            seen, hashes = numbering(), _Hashes()
             rows = [sketch(t or b"", seen, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "p", "signature"])
 
@@ -182,13 +188,16 @@ def _branched(nodes: DataFrame, level: int) -> DataFrame:
         chosen = [BRANCHES + POOL * (level - 1) + F.pmod(first + j, F.lit(POOL)) for j in range(BRANCHES)]
     values = F.array(*[F.element_at("signature", (F.col("tree") * _PER_TREE + at + 1).cast("int")) for at in chosen])
     out = nodes.select("*", F.posexplode(values).alias("_j", "_value"))
-    return out.withColumn("path", F.xxhash64("path", "_j", F.lit(level), "_value")).drop("_j", "_value", "signature")
+    return out.withColumn("path", F.xxhash64("path", "_j", F.lit(level), "_value")).drop("_j", "_value")
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(tree, path, c, n_shingles) at the first level."""
+    """(tree, path, c, n_shingles) at the first level that is compared."""
     trees = F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("tree")
-    return _branched(classes.select("c", "n_shingles", "signature", trees).withColumn("path", F.col("tree")), 0)
+    nodes = classes.select("c", "n_shingles", "signature", trees).withColumn("path", F.col("tree"))
+    for level in range(FIRST):
+        nodes = _branched(nodes, level)
+    return nodes.drop("signature")
 
 
 def _weighed(nodes: DataFrame) -> DataFrame:
@@ -238,26 +247,26 @@ def _paired(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return dealt.select("path", (1 + lo * (F.col("mg") + F.col("mr")) + hi).alias("block"), F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1).alias("side"), "c", "component")
 
 
-def _assigned(nodes: DataFrame, classes: DataFrame, scratch: Scratch, name: str, pivot: bool) -> DataFrame:
-    """The comparisons of some trees (path, block, side, c, component). With ``pivot`` costly nodes are compared with pivots only."""
-    out = None
-    for level in range(1, DEPTH + 1):
+def _assigned(nodes: DataFrame, classes: DataFrame, scratch: Scratch, name: str, pivot: bool) -> tuple[DataFrame, DataFrame]:
+    """The comparisons of some trees (path, block, side, c, component). With ``pivot`` costly nodes are compared with pivots only; their paths come second."""
+    out, costly = None, None
+    for level in range(FIRST, DEPTH + 1):
         weighed = scratch.save(_weighed(nodes), f"weighed-{name}-{level}")
         fits = (F.col("weight") <= NODE_SHINGLES) & (F.col("n") * F.col("weight") <= NODE_WORK)
         found = _wholes(nodes, _once(weighed.where(fits)))
         out = found if out is None else out.union(found)
         costly = weighed.where(~fits)
         if costly.isEmpty():
-            return out
+            break
         if pivot:
-            return out.union(_pivoted(nodes, _once(costly)))
+            return out.union(_pivoted(nodes, _once(costly))), costly.select("path")
         lean = F.lit(True) if level == DEPTH else 2 * (F.col("weight") - F.col("most")) <= NODE_SHINGLES
         out = out.union(_paired(nodes, _once(costly.where(lean))))
         if level == DEPTH:
             break
         deep = nodes.join(costly.where(~lean).select("path"), "path", "left_semi").join(classes.select("c", "signature"), "c")
-        nodes = scratch.save(_branched(deep, level), f"nodes-{name}-{level + 1}")
-    return out
+        nodes = scratch.save(_branched(deep, level).drop("signature"), f"nodes-{name}-{level + 1}")
+    return out, costly.select("path")
 
 
 def _compared(members: DataFrame, sets: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
@@ -270,7 +279,7 @@ def _compared(members: DataFrame, sets: DataFrame, size: int, similar: tuple[int
         half = np.array([r[2] for r in rows])
         links = []
         if known.max() and (half[0] < 0 or half.min() < half.max()):
-            seen: dict[bytes, int] = {}
+            seen = numbering()
             numbers = [word_numbers(r[3], seen) for r in rows]
             links = connecting_links(shingled(numbers, size, len(seen)), known, similar, None if half[0] < 0 else half)
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
@@ -312,15 +321,18 @@ def similar_documents(docs: DataFrame, size: int = 3, similar: tuple[int, int] =
     texts = docs.select(F.col("doc_id").alias("c"), F.col("text").cast("binary").alias("text")).where("text is not null")
     sets = scratch.save(texts.join(nodes.select("c").distinct().hint("merge"), "c", "left_semi"), "sets")
     known = None
-    for turn, trees in enumerate(("tree = 0", "true")):
-        own = nodes.where(trees)
+    for turn in range(2):
+        own = nodes.where("tree = 0" if not turn else "tree > 0")
+        if turn and not costly.isEmpty():  # what pivots alone have met
+            own = own.union(nodes.where("tree = 0").join(costly, "path", "left_semi"))
         own = own.withColumn("component", F.col("c")) if known is None else scratch.save(own.join(known.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "own")
         if turn:
             links = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = scratch.save(_compared(_assigned(own, classes, scratch, f"{turn}", not turn), sets, size, similar), f"links-{turn}")
+        assigned, costly = _assigned(own, classes, scratch, f"{turn}", not turn)
+        found = scratch.save(_compared(assigned, sets, size, similar), f"links-{turn}")
         known = scratch.save(graph.components(links.union(found), scratch, f"stars-{turn}"), f"known-{turn}")
-        scratch.drop(f"links-{turn}", *[f"{t}-{turn}-{level}" for t in ("weighed", "nodes") for level in range(1, DEPTH + 1)])
-    scratch.drop("nodes", "own", "sets", "links", "known-0")
+        scratch.drop(f"links-{turn}")
+    scratch.drop("nodes", "own", "sets", "links", "known-0", *[f"{t}-{k}-{level}" for t in ("weighed", "nodes") for k in range(2) for level in range(FIRST, DEPTH + 1)])
     labelled = classes.join(known.withColumnRenamed("node", "c"), "c", "left").select("p", F.coalesce("component", "c").alias("component_id"), "copies")
     # a thousand classes can be hot at most: they are broadcast; rows without words join nothing
     hot = F.col("copies") >= F.greatest(F.lit(HOT), F.lit(sketched.count() // 1000 + 1))

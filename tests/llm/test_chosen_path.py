@@ -76,7 +76,7 @@ def test_shingles_are_exact():
     for words in (5, 1 << 30):
         texts = ["".join(r.choice("ab c\n") for _ in range(r.randint(0, 60))).encode() for _ in range(40)]
         for size in (1, 3, 5):
-            seen = {}
+            seen = chosen_path.numbering()
             numbers = [chosen_path.word_numbers(t, seen) for t in texts]
             got = chosen_path.shingled(numbers, size, max(words, len(seen)) if words > 5 else len(seen))
             want = [shingles(t.decode(), size) for t in texts]
@@ -102,8 +102,8 @@ def test_recall_at_the_threshold(spark):
         rows += [(2 * k + side, chosen_path._signature(np.r_[own[:170], own[170 + 15 * side : 185 + 15 * side]]).tolist()) for side in (0, 1)]
     classes = spark.createDataFrame(rows, "c long, signature array<int>").selectExpr("c", "1L as n_shingles", "signature")
     nodes = chosen_path._members(classes)
-    for level in range(1, chosen_path.DEPTH):
-        nodes = chosen_path._branched(nodes.join(classes.select("c", "signature"), "c"), level)
+    for level in range(chosen_path.FIRST, chosen_path.DEPTH):
+        nodes = chosen_path._branched(nodes.join(classes.select("c", "signature"), "c"), level).drop("signature")
     pair = F.floor(F.col("c") / 2)
     met = nodes.groupBy(pair.alias("pair"), "tree", "path").agg(F.count_distinct("c").alias("n")).where("n = 2")
     got = met.select("pair").distinct().count()
