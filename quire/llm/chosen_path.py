@@ -36,8 +36,8 @@ from quire.llm.shared import Scratch
 TREES, BRANCHES, FIRST, DEPTH, POOL = 3, 2, 2, 5, 4
 #: Shingles that a node, or each half of a pair of blocks, may hold to be compared in one task, and classes times shingles.
 NODE_SHINGLES, NODE_WORK = 1 << 20, 1 << 30
-#: Pivots of a costly node; copies from which a class counts as hot: a thousandth of all rows, and at least this many.
-PIVOTS, HOT = 8, 1_000
+#: Pivots of a costly node.
+PIVOTS = 8
 #: Minwise hashes kept of a set: for each tree the roots' and, for each level below, those that its nodes choose from.
 _PER_TREE = BRANCHES + POOL * (DEPTH - 1)
 SIGNATURE = TREES * _PER_TREE
@@ -334,12 +334,6 @@ def similar_documents(docs: DataFrame, size: int = 3, similar: tuple[int, int] =
         scratch.drop(f"links-{turn}")
     scratch.drop("nodes", "own", "sets", "links", "known-0", *[f"{t}-{k}-{level}" for t in ("weighed", "nodes") for k in range(2) for level in range(FIRST, DEPTH + 1)])
     labelled = classes.join(known.withColumnRenamed("node", "c"), "c", "left").select("p", F.coalesce("component", "c").alias("component_id"), "copies")
-    # a thousand classes can be hot at most: they are broadcast; rows without words join nothing
-    hot = F.col("copies") >= F.greatest(F.lit(HOT), F.lit(sketched.count() // 1000 + 1))
-    labelled = scratch.save(labelled.select("p", "component_id", hot.alias("hot")), "labelled")
-    rows = sketched.drop("signature")
-    first = rows.where("p is not null").join(F.broadcast(labelled.where("hot").select("p", "component_id")), "p", "left")
-    cold = first.where("component_id is null").drop("component_id").join(labelled.where("not hot").select("p", "component_id").hint("merge"), "p", "left")
-    out = first.where("component_id is not null").unionByName(cold).unionByName(rows.where("p is null").withColumn("component_id", F.col("doc_id")))
+    out = graph.labelled_rows(sketched.drop("signature"), scratch.save(labelled, "labelled"), ["p"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -38,3 +38,20 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     # only the last round is still read
     stars = now.select(b.alias("node"), a.alias("component"))
     return stars.union(now.select(a.alias("node"), a.alias("component")).distinct())
+
+
+#: Rows from which a class counts as hot, at least; above that, a thousandth of all rows.
+HOT = 1_000
+
+
+def labelled_rows(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns that ``labels`` has for their keys; ``labels`` also has ``copies``, the rows of each key, and a label for every key.
+
+    The labels of hot keys, a thousand at most, are broadcast, so a common key is no large task; the others are joined by sort-merge. Rows with a null key are joined with nothing and keep nulls.
+    """
+    known = rows.where(" and ".join(f"{k} is not null" for k in keys))
+    hot = F.col("copies") >= max(HOT, rows.count() // 1000 + 1)
+    new = [c for c in labels.columns if c not in (*keys, "copies")]
+    first = known.join(F.broadcast(labels.where(hot).drop("copies").withColumn("_hot", F.lit(True))), keys, "left")
+    cold = first.where("_hot is null").drop("_hot", *new).join(labels.where(~hot).drop("copies").hint("merge"), keys)
+    return first.where("_hot").drop("_hot").unionByName(cold).unionByName(rows.where(" or ".join(f"{k} is null" for k in keys)), allowMissingColumns=True)

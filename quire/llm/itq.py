@@ -1,13 +1,17 @@
 """Near-duplicate embeddings by iterative quantisation (Gong and Lazebnik, 2011) and multi-index Hamming tables.
 
 A rotation of the principal axes is learned so that the signs of the rotated vectors are balanced binary codes close to the vectors. Each
-code is cut into substrings, one Hamming table each; vectors that agree on a substring are candidates, and every candidate pair is decided
-by the cosine of the original vectors in double precision. A substring is as long as keeps a table's buckets at about ``LOAD`` vectors,
-whatever the number of vectors; further rotations, each learned from another start, are added until pairs that lie exactly at the threshold (sample
-vectors moved by that angle) meet in some table with probability ``RECALL``.
+code of m substrings is cut into m Hamming tables: codes that differ in fewer than m bits agree on a whole substring (the radius within which a rotation
+finds all), and vectors that agree on one are candidates. Every candidate pair is decided by the cosine of the original vectors in double precision.
+
+Rotations, each learned from another start, are added, as many as it takes, until pairs that lie exactly at the threshold (sample vectors moved by that
+angle) meet in some table with probability ``RECALL``. (A table of another rotation finds more for its cost than probing the neighbours of a substring does: at 26 bits and a cosine
+of 0.95, 27 probes of one table find 0.25 of such pairs, 27 tables 0.83.) The length of a substring is chosen among those that leave a table's buckets
+at about ``LOADS`` vectors: the one whose tables cost least.
 
 A bucket's pairs are not emitted: each bucket leaves, for each vector, the number of its links that no earlier table has, and
-links enough to connect what is linked. Buckets above ``BUCKET`` vectors are compared in pairs of blocks.
+links enough to connect what is linked. Buckets above ``BUCKET`` vectors are compared in pairs of blocks: a vector's number of links is exact, so every
+pair of different vectors of a cluster is decided.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from quire.llm.shared import Scratch
 
 #: Vectors that the rotations are fitted on at most, in expectation.
 FIT_ROWS = 20_000
-LOAD, BUCKET, RECALL, ROTATIONS, STEPS = 16, 1024, 0.97, 24, 30
-_BITS = 62
+LOADS, BUCKET, RECALL, STEPS = (16, 64, 256), 4096, 0.97, 30
+#: Vectors of a bucket whose comparison costs as much as one entry of a table.
+_EVEN = 128
+_BITS, _ROWS = 62, 512
 
 
 @dataclass
@@ -71,19 +77,32 @@ def fit(sample: np.ndarray, vectors: int, cosine: float) -> Codes:
     """From sample vectors, for a table of ``vectors`` vectors."""
     rng = np.random.default_rng(41)
     unit = unit_rows(sample)
+    # recall is measured on vectors that nothing is learned from
+    order = rng.permutation(len(unit))
+    held = min(4000, len(unit) // 5) if len(unit) >= 100 else 0
+    some, unit = (unit[order[:held]], unit[order[held:]]) if held else (unit, unit)
     mean = unit.mean(axis=0) if len(unit) > 100 else np.zeros(unit.shape[1])
     _, axes = np.linalg.eigh((unit - mean).T @ (unit - mean))
     axes = axes[:, ::-1][:, :_BITS]
-    width = min(axes.shape[1], max(6, int(np.ceil(np.log2(max(2, vectors / LOAD))))))
-    some = unit[rng.permutation(len(unit))[:4000]]
     aside = rng.standard_normal(some.shape)
     aside -= (aside * some).sum(axis=1, keepdims=True) * some
     moved = cosine * some + np.sqrt(1 - cosine**2) * unit_rows(aside) if some.shape[1] > 1 else some
-    codes, met = Codes(mean, [], width), np.zeros(len(some), bool)
-    while len(codes.rotations) < ROTATIONS and (met.mean() < RECALL or not codes.rotations):
-        codes.rotations.append(_rotation(unit - mean, axes, rng))
-        met = (codes.keys(some) == codes.keys(moved)).any(axis=1)
-    return codes
+    rotations: list[np.ndarray] = []
+    best = None
+    for load in sorted(LOADS, reverse=True):  # shorter substrings need fewer rotations
+        codes = Codes(mean, [], min(axes.shape[1], max(6, int(np.ceil(np.log2(max(2, vectors / load)))))))
+        met = np.zeros(len(some), bool)
+        while met.mean() < RECALL or not codes.rotations:
+            if best and codes.tables * (1 + load / _EVEN) >= best[0]:
+                break
+            k = len(codes.rotations)
+            if k == len(rotations):
+                rotations.append(_rotation(unit - mean, axes, rng))
+            codes.rotations.append(rotations[k])
+            met |= (Codes(mean, [rotations[k]], codes.width).keys(some) == Codes(mean, [rotations[k]], codes.width).keys(moved)).any(axis=1)
+        else:
+            best = codes.tables * (1 + load / _EVEN), codes
+    return best[1]
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -114,14 +133,20 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def bucket_links(unit: np.ndarray, keys: np.ndarray, copies: np.ndarray, table: int, cosine: float, half: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each vector of a bucket the copies it is linked to here and in no earlier table, and links that connect."""
-    close = unit @ unit.T >= cosine
-    np.fill_diagonal(close, False)
-    if half is not None:
-        close &= half[:, None] != half[None, :]
-    a, b = np.nonzero(close)
-    new = ~(keys[a, :table] == keys[b, :table]).any(axis=1) if table else np.ones(len(a), bool)
-    return np.bincount(a[new], weights=copies[b[new]], minlength=len(unit)).astype(np.int64), _forest(close)
+    """For each vector of a bucket the copies it is linked to here and in no earlier table, and links that connect. By rows, so that no matrix of doubles or of earlier keys is whole."""
+    n = len(unit)
+    close, new = np.zeros((n, n), bool), np.zeros(n, np.int64)
+    for a in range(0, n, _ROWS):
+        own = slice(a, min(n, a + _ROWS))
+        near = unit[own] @ unit.T >= cosine
+        near[np.arange(near.shape[0]), np.arange(own.start, own.stop)] = False
+        if half is not None:
+            near &= half[own, None] != half[None, :]
+        close[own] = near
+        for t in range(table if near.any() else 0):
+            near &= keys[own, t, None] != keys[None, :, t]
+        new[own] = near @ copies
+    return new, _forest(close)
 
 
 def similar_vectors(vectors: DataFrame, cosine: float = 0.95, scratch: Scratch | None = None) -> DataFrame:
@@ -129,15 +154,17 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95, scratch: Scratch |
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows with a null id, which have no component and are
     kept. Vectors link with those of their own dimension only: each dimension has an index of its own. Rows that repeat an id are vectors of their own in n_links
-    and one in components.
+    and one in components; rows that repeat a vector are linked with each other. A cosine equal to the threshold, as computed in doubles, is a link. Without rows there are
+    none; other columns, whatever their names, stay out.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = scratch.save(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).select("vec_id", F.when(F.col("sound"), F.xxhash64("v")).alias("p"), F.when(F.col("sound"), F.xxhash64("v", F.lit(1))).alias("q"), F.when(F.col("sound"), F.col("v")).alias("v")), "rows")
+    rows = scratch.save(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).select("vec_id", F.when(F.col("sound"), F.xxhash64("v")).alias("p"), F.when(F.col("sound"), F.xxhash64(F.lit(1), "v")).alias("q"), F.when(F.col("sound"), F.col("v")).alias("v")), "rows")
     usable = rows.where("p is not null").withColumn("d", F.size("v"))
-    classes = scratch.save(usable.groupBy("d", "p", "q").agg(F.min("vec_id").alias("c"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "classes")
+    # two hashes of different seeds tell classes apart in joins
+    classes = scratch.save(usable.groupBy("d", "p", "q", "v").agg(F.min("vec_id").alias("c"), F.count("*").alias("copies")).select("d", "p", "q", "c", "copies", "v"), "classes")
     totals = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
     if not totals:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -173,6 +200,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95, scratch: Scratch |
         large = large.withColumn("i", F.pmod(F.xxhash64("p"), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
         lo, hi = F.least("i", "j"), F.greatest("i", "j")
         dealt = dealt.union(large.select("d", "t", "key", (1 + lo * F.col("m") + hi).alias("block"), F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1).alias("side"), "p", "q"))
+
     def linked(rows: list[tuple]) -> pa.RecordBatch:
         table, half = rows[0][1], np.array([r[4] for r in rows])
         ids, copies = [r[5] for r in rows], np.array([r[6] for r in rows])
@@ -205,6 +233,8 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95, scratch: Scratch |
     scratch.drop("keyed", "buckets")
     sums = found.where("b is null").groupBy(F.col("a").alias("c"), "p").agg(F.sum("n").alias("n"))
     labelled = classes.select("p", "q", "c", "copies").join(known.withColumnRenamed("node", "c"), "c", "left").join(sums, ["c", "p"], "left")
-    labelled = labelled.select("p", "q", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
+    labelled = scratch.save(labelled.select("p", "q", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "c").alias("component_id"), "copies"), "labelled")
+    scratch.drop("found", "classes", "known")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return rows.drop("v").join(labelled, ["p", "q"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = graph.labelled_rows(rows.drop("v"), labelled, ["p", "q"])
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

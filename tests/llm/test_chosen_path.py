@@ -56,7 +56,7 @@ def test_against_brute_force(spark, shingles, work, monkeypatch):
     # small limits: pivots, deeper branching, pairs of blocks
     monkeypatch.setattr(chosen_path, "NODE_SHINGLES", shingles)
     monkeypatch.setattr(chosen_path, "NODE_WORK", work)
-    monkeypatch.setattr(chosen_path, "HOT", 2)
+    monkeypatch.setattr(graph, "HOT", 2)
     docs = corpus()
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id as c", "1 as p", "text as path", "2 as component_id")
     got = chosen_path.similar_documents(frame).collect()

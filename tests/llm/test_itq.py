@@ -57,14 +57,41 @@ def test_empty_and_sole(spark):
     assert [tuple(r) for r in itq.similar_vectors(frame.where("vec_id = 5000")).collect()] == [(5000, 0, 5000, True)]
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize(("size", "vectors"), [(16, 10**6), (32, 10**8), (32, 10**9), (64, 5 * 10**7), (64, 10**10), (256, 10**9)])
+def test_recall_at_the_threshold(size, vectors):
+    """Of pairs at the threshold, fresh ones, and for every size as many rotations as that takes."""
     r = np.random.default_rng(3)
-    x = itq.unit_rows(r.standard_normal((3000, 64)))
-    codes = itq.fit(x, 50_000_000, 0.95)
-    u = r.standard_normal(x.shape)
-    u = itq.unit_rows(u - (u * x).sum(1, keepdims=True) * x)
-    y = 0.95 * x + np.sqrt(1 - 0.95**2) * u
-    assert (codes.keys(x) == codes.keys(y)).any(axis=1).mean() >= 0.9
+    x = itq.unit_rows(r.standard_normal((3000, size)))
+    codes = itq.fit(x, vectors, 0.95)
+    z = itq.unit_rows(r.standard_normal((3000, size)))
+    u = r.standard_normal(z.shape)
+    u = itq.unit_rows(u - (u * z).sum(1, keepdims=True) * z)
+    y = 0.95 * z + np.sqrt(1 - 0.95**2) * u
+    met = (codes.keys(z) == codes.keys(y)).any(axis=1).mean()
+    print(size, vectors, "width", codes.width, "tables", codes.tables, "recall", met)
+    assert met >= 0.95
+
+
+def test_bucket_links():
+    r = np.random.default_rng(8)
+    unit = itq.unit_rows(np.repeat(r.standard_normal((30, 12)), 40, axis=0) + 0.15 * r.standard_normal((1200, 12)))
+    keys, copies = r.integers(0, 3, (1200, 4)), r.integers(1, 4, 1200)
+    for half in (None, r.integers(0, 2, 1200)):
+        close = (unit @ unit.T >= 0.95) & ~np.eye(1200, dtype=bool)
+        if half is not None:
+            close &= half[:, None] != half[None, :]
+        new = close & ~(keys[:, None, :2] == keys[None, :, :2]).any(axis=2)
+        got, links = itq.bucket_links(unit, keys, copies, 2, 0.95, half)
+        assert got.tolist() == (new @ copies).tolist()
+        assert all(close[a, b] for a, b in links)
+
+
+def test_hot_vector_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(itq.graph, "HOT", 5)
+    rows = corpus() + [(6000 + k, [1.0] * 16) for k in range(40)] + [(7000 + k, None) for k in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as p", "2 as q", "vec_id as c", "3 as n_links", "4 as copies", "embedding as v")
+    got = {r.vec_id: r for r in itq.similar_vectors(frame).collect() if r.vec_id and r.vec_id >= 6000}
+    assert len(got) == 60 and all(got[6000 + k][1:] == (39, 6000, k == 0) for k in range(40)) and all(got[7000 + k][1:] == (0, 7000 + k, True) for k in range(20))
 
 
 @pytest.mark.parametrize("bucket", [1024, 8])
