@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chosen_path, langid, mixing, nbsvm, queries, suffix
-from quire.llm.shared import Scratch
+from quire.llm.shared import Scratch, swept
 from quire.llm.textbytes import BOXED, boxed, small_batches
 
 #: A document whose best language has less than this share of the likelihoods is rejected.
@@ -32,13 +32,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every group the document of the smallest id, and of rows that repeat an id one."""
-    found = chosen_path.similar_documents(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    kept = Scratch(spark).save(found.groupBy("_kept").agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept.where("_kept is not null").select("_kept").hint("merge"), docs.doc_id == F.col("_kept"), "left_semi")
-    if not kept.where("_n > 1 and _kept is not null").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null"))
+    """Keeps of every group the document of the smallest id, and of rows that repeat an id the one of the least text. Rows without an id are kept."""
+    found = chosen_path.similar_documents(docs).where("kept and doc_id is not null")
+    kept = Scratch(spark).save(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    rows = boxed(docs)
+    out = rows.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    again = kept.where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        order = F.struct(F.col(f"{BOXED}.text"), F.to_json(BOXED))
+        least = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(BOXED, order).alias(BOXED))
+        out = out.join(again, "doc_id", "left_anti").unionByName(least)
+    return out.select(BOXED).union(rows.where("doc_id is null").select(BOXED)).select(f"{BOXED}.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's account of all documents that the stages keep. What a stage leaves in the shared folder goes when its rows are written, the last one's rows with the session."""
     scratch = Scratch(spark)
     docs = queries.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with swept():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs
