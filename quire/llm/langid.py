@@ -26,8 +26,8 @@ from quire.llm import textbytes as tb
 from quire.llm.shared import fitted
 
 ORDER = 4
-#: Documents that a language's tree is counted on at most, in expectation; they are chosen by a hash of doc_id.
-FIT_DOCS = 400
+#: Documents, and bytes, that a language's tree is counted on at most, in expectation, chosen by a hash of doc_id, and bytes of the longest text among them.
+FIT_DOCS, FIT_BYTES, FIT_TEXT = 400, 4 << 20, 1 << 18
 UNKNOWN = "und"
 _PAD = 10
 
@@ -122,13 +122,13 @@ def fit(texts: dict[str, list[bytes]]) -> Trees:
 
 
 def sample(docs: DataFrame, learn: Column, rows: int = FIT_DOCS) -> DataFrame:
-    """(doc_id, text, lang): about ``rows`` non-empty texts of each language among the rows that pass ``learn``, chosen by a hash of doc_id."""
-    own = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """(doc_id, text, lang): about ``rows`` non-empty texts of each language, or ``FIT_BYTES`` if that is less, among the rows that pass ``learn``, chosen by a hash of doc_id. Texts above ``FIT_TEXT`` bytes teach nothing more."""
+    own = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & (F.length("text") > 0) & (F.octet_length("text") <= FIT_TEXT))
+    counts = {r["lang"]: min(rows / r["n"], FIT_BYTES / r["bytes"]) for r in own.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()}
     if not counts:
         return own.limit(0)
-    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1.0, rows / n)))])
-    return own.where((F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < bound[F.col("lang")]) & (F.length("text") > 0))
+    bound = F.create_map(*[F.lit(x) for lang, share in counts.items() for x in (lang, int((1 << 30) * min(1.0, share)))])
+    return own.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < bound[F.col("lang")])
 
 
 def _fit_table(table: pa.Table) -> Trees:
@@ -147,7 +147,8 @@ def predict(docs: DataFrame, trees: Trees, keep: list | None = None) -> DataFram
     """Columns ``keep`` (default doc_id) with lang_pred, score (the language's share of the likelihoods) and bits_per_byte.
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Of languages that code
-    a text equally short, the first by name is taken.
+    a text equally short, the first by name is taken. Texts are coded whole, whatever their length; each row is judged alone, so rows that repeat get the same. Without rows
+    there are none; other columns, whatever their names, stay out.
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(trees)

@@ -230,7 +230,11 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, learn: Column, grams
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list | None = None) -> DataFrame:
-    """Columns ``keep`` (default doc_id) of ``docs`` with ``score`` and ``predicted``; a null text counts as empty."""
+    """Columns ``keep`` (default doc_id) of ``docs`` with ``score`` and ``predicted``; a null text counts as empty.
+
+    Texts are scored whole, whatever their length; each row is judged alone, so rows that repeat get the same. A score equal to ``threshold`` is predicted 1. Without rows there are none;
+    other columns, whatever their names, stay out.
+    """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

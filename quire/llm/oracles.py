@@ -65,4 +65,11 @@ SELECT m.conv_id, m.turn, role, reply_to, coalesce(thread, m.turn) AS thread, co
 CASE WHEN n_quotes IS NULL THEN coalesce(text, '') ELSE coalesce(body, '') END AS body
 FROM m LEFT JOIN replies USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn) LEFT JOIN linked USING (conv_id, turn) LEFT JOIN nq USING (r) LEFT JOIN bodies USING (r)"""
 
-ORACLES = {"op1_quotation_linking": QUOTATIONS, "op3_decontamination": DECONTAMINATION, "op4_embeddings": EMBEDDINGS, "op10_minhash": MINHASH}
+#: The same over conversations that quote: a turn quotes the one or two before.
+QUOTED = QUOTATIONS.replace("WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text FROM conversations)", """WITH RECURSIVE quoting AS (SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 3
+WHEN 1 THEN 'They wrote:' || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || c.text
+WHEN 2 THEN '> > ' || replace(b.text, chr(10), chr(10) || '> > ') || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) || c.text END, c.text) AS text
+FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text FROM quoting)""")
+
+ORACLES = {"op1_quotation_linking": QUOTATIONS, "quoted_conversations": QUOTED, "op3_decontamination": DECONTAMINATION, "op4_embeddings": EMBEDDINGS, "op10_minhash": MINHASH}

@@ -23,7 +23,12 @@ def held_out(n: int, rest: int) -> Column:
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.reply_threads(table(spark, sf_dir, "conversations"))
+    return quotes.reply_ordered(quotes.reply_threads(table(spark, sf_dir, "conversations")))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 over the same conversations made to quote each other, as the given ones don't."""
+    return quotes.reply_ordered(quotes.reply_threads(quotes.quoting(table(spark, sf_dir, "conversations"))))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +74,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_documents(table(spark, sf_dir, "documents"), size=3, similar=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_language_id, op3_decontamination, op4_embeddings, op5_html_extraction, op6_mixing, op7_token_counts, op8_quality, op9_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, quoted_conversations, op2_language_id, op3_decontamination, op4_embeddings, op5_html_extraction, op6_mixing, op7_token_counts, op8_quality, op9_toxicity, op10_minhash)}
 ORACLES = oracles.ORACLES

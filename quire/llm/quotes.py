@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import Scratch
 
+#: Tasks that the rows of one conversation, or the replies to one message, are dealt over.
+SALTS = 8
 _MARKS = r"^(?: {0,3}>)+"
 #: Words that end a line which introduces a quotation.
 _INTRODUCES = r"(?i)(?:wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe)\s*:\s*$"
@@ -59,14 +61,18 @@ def _units(lines: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.transform(lines, _normal), F.array(_normal(F.array_join(lines, " ")))), lambda x: x != ""))
 
 
+def _copies() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked) of every message that quotes an earlier one of its conversation; rows that share conv_id and turn are one message."""
     rows = messages.select("conv_id", "turn", "text").where("conv_id is not null and turn is not null")
     key = [F.xxhash64("unit").alias("h"), F.xxhash64(F.lit(1), "unit").alias("g")]
     quoted = parsed(rows.where(_may_quote())).where(F.exists("runs", lambda r: r["level"] > 0)).select("conv_id", "turn", F.posexplode(F.filter("runs", lambda r: r["level"] > 0)).alias("k", "run"))
     quoted = quoted.select("conv_id", "turn", "k", F.col("run.level").alias("level"), F.explode(_units(F.col("run.lines"))).alias("unit")).select("conv_id", "turn", "k", "level", F.length("unit").alias("n"), *key)
-    concerned = quoted.select("conv_id").distinct()
-    said = parsed(rows.join(concerned, "conv_id", "left_semi"))
+    concerned = quoted.select("conv_id").distinct().select("conv_id", _copies())
+    said = parsed(rows.withColumn("_salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS))).join(concerned, ["conv_id", "_salt"], "left_semi"))
     # a message says its lines, its runs between quotations, its paragraphs, and all it says as one
     parts = F.concat(
         F.array(F.col("own")),
@@ -86,11 +92,12 @@ def threads(replies: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(replies.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")), "jump-0")
     k = 0
     while True:
-        up = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("_to"), F.col("depth").alias("_more"))
-        if now.join(up, ["conv_id", "thread"], "left_semi").isEmpty():
+        up = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("_to"), F.col("depth").alias("_more"), _copies())
+        dealt = now.withColumn("_salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)))
+        if dealt.join(up, ["conv_id", "thread", "_salt"], "left_semi").isEmpty():
             return now
         k += 1
-        joined = now.join(up, ["conv_id", "thread"], "left")
+        joined = dealt.join(up, ["conv_id", "thread", "_salt"], "left")
         now = scratch.save(joined.select("conv_id", "turn", F.coalesce("_to", "thread").alias("thread"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), f"jump-{k}")
         scratch.drop(f"jump-{k - 1}")
 
@@ -98,19 +105,34 @@ def threads(replies: DataFrame, scratch: Scratch) -> DataFrame:
 def reply_threads(messages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Every message with reply_to (turn answered, or null), thread (turn that began the thread), depth, n_quotes, n_linked and body.
 
-    The body is the text without quotations; without any quotation it is the text, a null one empty. Rows with a null conversation or turn answer nothing.
-    Reply order is (conv_id, thread, turn).
+    The body is the text without quotations, of any length; without any quotation it is the text, a null one empty. Rows with a null conversation or turn answer nothing; rows that
+    repeat both are one message for those that quote it, and each is returned. Of originals with equal votes the latest is answered. Without messages there are no rows; other
+    columns, whatever their names, stay out. Reply order is (conv_id, thread, turn): see ``reply_ordered``.
     """
     scratch = scratch or Scratch(messages.sparkSession)
     replies = scratch.save(linked(messages), "replies")
-    chain = replies.join(threads(replies, scratch), ["conv_id", "turn"])
+    chain = scratch.save(replies.join(threads(replies, scratch), ["conv_id", "turn"]), "chain")
+    scratch.drop("replies", *[f"jump-{k}" for k in range(64)])
     # messages that can't hold a quotation aren't parsed: their arrays are null
     rows = parsed(messages.select("conv_id", "turn", "role", F.col("text").alias("_all"), F.when(_may_quote(), F.col("text")).alias("text")))
     rows = rows.withColumn("n_quotes", F.coalesce(F.size(F.filter("runs", lambda r: r["level"] > 0)), F.lit(0)).cast("long"))
     body = F.when(F.col("n_quotes") == 0, F.coalesce("_all", F.lit(""))).otherwise(F.regexp_replace(F.array_join("own", "\n"), r"^\s+|\s+$", ""))
-    return rows.select("conv_id", "turn", "role", "n_quotes", body.alias("body")).join(chain, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body")
+    rows = rows.select("conv_id", "turn", "role", "n_quotes", body.alias("body"))
+    whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    out = rows.where(whole).join(chain, ["conv_id", "turn"], "left").unionByName(rows.where(~whole), allowMissingColumns=True)
+    return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body")
 
 
 def reply_ordered(threaded: DataFrame) -> DataFrame:
     """The messages in reply order, conversation after conversation, dealt by ranges so that a long conversation spreads over tasks."""
     return threaded.repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages made to quote: of three turns one quotes the turn before, one the two turns before at two levels, one nothing. For tables without quotations."""
+    said = [messages.select("conv_id", (F.col("turn") + k).alias("turn"), F.replace("text", F.lit("\n"), F.lit("\n" + "> " * k)).alias(f"_{k}")).groupBy("conv_id", "turn").agg(F.min(f"_{k}").alias(f"_{k}")) for k in (1, 2)]
+    own = messages.join(said[0], ["conv_id", "turn"], "left").join(said[1], ["conv_id", "turn"], "left")
+    one = F.concat(F.lit("They wrote:\n> "), "_1", F.lit("\n\n"), "text")
+    two = F.concat(F.lit("> > "), "_2", F.lit("\n> "), "_1", F.lit("\n"), "text")
+    text = F.coalesce(F.when(F.col("turn") % 3 == 1, one).when(F.col("turn") % 3 == 2, two), F.col("text"))
+    return own.select("conv_id", "turn", "role", text.alias("text"))

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of the broadcast table, texts that it is counted on at most (in expectation), entries of a worker's cache, and the longest pre-token kept in either.
-TABLE, TABLE_DOCS, CACHE, LONGEST = 1 << 16, 2000, 1 << 19, 64
+from quire.llm.shared import fitted
+
+#: Entries of the broadcast table, texts and bytes that it is counted on at most (in expectation), bytes of the longest of these texts, entries of a worker's cache, and the longest pre-token kept in either.
+TABLE, TABLE_DOCS, TABLE_BYTES, TABLE_TEXT, CACHE, LONGEST = 1 << 16, 2000, 16 << 20, 1 << 18, 1 << 19, 64
 LIMIT = 4096
 _MARK = "▁"
 
@@ -112,18 +114,28 @@ def encoder(path: str, table: dict[str, int] | None = None) -> Encoder:
 
 
 def frequent(docs: DataFrame, path: str, entries: int = TABLE, rows: int = TABLE_DOCS) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of about ``rows`` texts, chosen by a hash of doc_id; the table only saves time, so a sample will do."""
-    total = max(1, docs.count())
-    keep = F.pmod(F.xxhash64("doc_id", F.lit("tokens")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / total))
-    counts: Counter = Counter()
-    for row in docs.select("doc_id", "text").where(keep & F.col("text").isNotNull()).select("text").toLocalIterator():
-        counts.update(row["text"].replace("\n", " ").split(" "))
-    own = Encoder(path)
-    return {w: own.words[w] for w, _ in counts.most_common(entries) if len(w) <= LONGEST and _MARK not in w} if own.parts else {}
+    """Lengths of the most frequent pre-tokens of about ``rows`` texts, or ``TABLE_BYTES`` if that is less, chosen by a hash of doc_id and counted in one task; the table only saves time, so a sample will do."""
+    own = docs.select("doc_id", "text").where(F.octet_length("text") <= TABLE_TEXT)
+    total = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    share = min(1.0, rows / max(1, total["n"]), TABLE_BYTES / max(1, total["bytes"] or 0))
+
+    def counted(table: pa.Table) -> dict[str, int]:
+        counts: Counter = Counter()
+        for text in table["text"]:
+            counts.update(text.as_py().replace("\n", " ").split(" "))
+        model = Encoder(path)
+        most = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]
+        return {w: model.words[w] for w, _ in most if len(w) <= LONGEST and _MARK not in w} if model.parts else {}
+
+    return fitted(own.where(F.pmod(F.xxhash64("doc_id", F.lit("tokens")), F.lit(1 << 30)) < int((1 << 30) * share)), counted)
 
 
 def token_counts(docs: DataFrame, path: str, keep: list | None = None, limit: int = LIMIT) -> DataFrame:
-    """Columns ``keep`` (default doc_id) with n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each whole text; null counts as empty."""
+    """Columns ``keep`` (default doc_id) with n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each whole text; null counts as empty.
+
+    A long text is counted line by line, so it needs little more than itself. Rows that repeat are counted each; a text of ``limit`` tokens is not over it. Without rows there are none; other
+    columns, whatever their names, stay out.
+    """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
 

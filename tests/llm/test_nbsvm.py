@@ -57,6 +57,70 @@ def test_held_out_accuracy(spark):
     assert sum(hits) >= 0.97 * len(hits) and got[902].predicted == 1 and got[901].predicted == 0
 
 
+def test_quality_of_held_out_texts(spark):
+    """Marks, shouting and repeats make poor texts, in words that no other text has."""
+    r = random.Random(6)
+    rows = []
+    for i in range(500):
+        own = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(r.randint(20, 80))]
+        kind = r.choice(["good", "good", "marks", "shout", "again"])
+        if kind == "marks":
+            own = [w + r.choice(["$$$", "***", "!!"]) for w in own]
+        elif kind == "shout":
+            own = [w.upper() + "!!" for w in own]
+        elif kind == "again":
+            own = [own[k % 4] for k in range(len(own))]
+        rows.append((i, " ".join(own) + ".", int(kind == "good")))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = nbsvm.learned(docs, labels, "quality", F.crc32(F.col("doc_id").cast("string")) % 5 != 0, nbsvm.quality_grams)
+    got = {x.doc_id: x.score for x in nbsvm.score(docs, model).collect()}
+    held = {x.doc_id for x in docs.where("crc32(cast(doc_id as string)) % 5 = 0").collect()}
+    right = [(got[i] >= 0.5) == bool(y) for i, _, y in rows if i in held]
+    assert len(right) > 60 and sum(right) >= 0.95 * len(right)
+
+
+def plain_model(texts, labels, score):
+    """Naive Bayes support vectors with dictionaries of n-grams instead of buckets, and the primal solved by subgradient steps."""
+    def grams(t):
+        b = b" " + t.lower().encode() + b" "
+        return {b[i : i + n] for n in (3, 4, 5) for i in range(len(b) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    count = [{}, {}]
+    for s, y in zip(sets, labels, strict=True):
+        for g in s:
+            count[y][g] = count[y].get(g, 0) + 1
+    names = sorted(g for g in {**count[0], **count[1]} if count[0].get(g, 0) + count[1].get(g, 0) >= 3)
+    total = [sum(c.values()) for c in count]
+    ratio = {g: np.log((count[1].get(g, 0) + 1) / (total[1] + 1) * (total[0] + 1) / (count[0].get(g, 0) + 1)) for g in names}
+    at = {g: k for k, g in enumerate(names)}
+
+    def row(s):
+        out = np.zeros(len(names) + 1)
+        for g in s:
+            if g in at:
+                out[at[g]] = ratio[g] / np.sqrt(len(s))
+        out[-1] = 1
+        return out
+
+    x, y = np.array([row(s) for s in sets]), np.where(np.array(labels) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
+    w = np.zeros(x.shape[1])
+    for k in range(1, 4000):
+        w -= (w - ((y * (x @ w) < 1) * cost * y) @ x) / (k + 200)
+    return np.array([row(grams(t)) @ w for t in score])
+
+
+def test_against_dictionaries():
+    rows = texts(200, 4)
+    model = nbsvm.fit([t.encode() for _, t, _ in rows], [y for *_, y in rows], nbsvm.toxicity_grams, epochs=500)
+    new = [t for _, t, _ in texts(100, 9)]
+    got = model.margins(np.frombuffer(t.encode(), np.uint8) for t in new)
+    want = plain_model([t for _, t, _ in rows], [y for *_, y in rows], new)
+    assert np.corrcoef(got, want)[0, 1] > 0.99 and ((got > 0) == (want > 0)).mean() >= 0.97
+
+
 def test_one_class_or_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")

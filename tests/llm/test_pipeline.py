@@ -54,6 +54,17 @@ def test_stages_and_run(spark, tmp_path):
         assert sum(r.size for r in own) == own[0].source_size and abs(sum(r.taken for r in own) - own[0].target) <= 0.51
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, 5, "b"), (1, "another " * 9, 6, "a"), (1, "another " * 9, 6, "c"), (2, text, 7, "d"), (None, text, 8, "e"), (3, None, 9, "f"), (4, "", 1, "g"), (4, None, 2, "h")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _kept int, n string").selectExpr("*", "1 as component_id", "2 as p", "'x' as kept", "3 as _at")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == sorted([rows[1], rows[4], rows[5], rows[7]], key=str)
+    assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_entry_lists_every_query():
     names = set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
