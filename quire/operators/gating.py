@@ -39,12 +39,15 @@ def reduced(attempts: DataFrame, threshold: int = 95, floor: float = X.FLOOR, re
     own = own.join(own.groupBy(*_KEYS).agg(first), _KEYS).where("_first is null or attempt <= _first")
     well = F.col("envelope_error").isNull()
     best = F.col("attempt") if reference_compatible else F.when(well, F.struct(F.coalesce("coverage", F.lit(0)), "attempt")).otherwise(F.struct(F.lit(-1), F.col("attempt")))
-    fields = F.struct("attempt", "dpi", "reference_kind", "markdown", "coverage", "floor_score", "envelope_error")
+    held = set(attempts.columns)
+    text = lambda c: F.col(c) if c in held else F.lit(None).cast("string").alias(c)
+    fields = F.struct("attempt", "dpi", "reference_kind", "markdown", "coverage", "floor_score", "envelope_error", text("figures"), text("reference"))
+    timed = [c for c in ("transcribe_ms", "verify_ms") if c in held]
     out = own.groupBy(*_KEYS).agg(
         F.max_by(fields, best).alias("r"),
         F.max("_ok").alias("ok"),
         F.max("attempt").alias("retries"),
-        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("prompt_tokens", "completion_tokens", "ms")],
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("prompt_tokens", "completion_tokens", "ms", *timed)],
     )
     failed = X.floor_failure(F.col("r.floor_score"), floor).isNotNull()
     note = F.when(~F.col("ok"), F.when(failed, "coverage floor failed: judge score alone is insufficient").otherwise("verification cap reached"))
@@ -60,8 +63,12 @@ def reduced(attempts: DataFrame, threshold: int = 95, floor: float = X.FLOOR, re
         (~F.col("ok")).alias("needs_review"),
         F.col("r.floor_score").alias("floor_score"),
         note.alias("notes"),
+        F.when(sound, F.col("r.figures")).alias("figures"),
         F.struct(F.col("prompt_tokens").alias("prompt"), F.col("completion_tokens").alias("completion")).alias("token_usage"),
         "ms",
+        *timed,
+        F.sha2("r.reference", 256).alias("reference_hash"),
+        F.when(sound, F.sha2("r.markdown", 256)).alias("markdown_hash"),
     )
 
 

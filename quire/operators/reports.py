@@ -52,6 +52,11 @@ def _shown(value: Column | str) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
+def _held(frame: DataFrame, column: str) -> Column:
+    """A column that the frame may lack."""
+    return F.col(column) if column in frame.columns else F.lit(None).cast("string")
+
+
 def report_lines(jobs: DataFrame, pages: DataFrame, images: DataFrame, furniture: DataFrame, orphans: DataFrame, warnings: DataFrame) -> DataFrame:
     """(job_id, part, ord, line) of every job's report. ``pages`` is the current view; furniture (job_id, text, pages), orphans (job_id, page, index, alt, reason), warnings (job_id, warning)."""
     ids = jobs.select("job_id")
@@ -76,6 +81,9 @@ def report_lines(jobs: DataFrame, pages: DataFrame, images: DataFrame, furniture
         F.concat(F.lit("- wall-clock: "), wall_clock(F.col("started_at"), F.col("finished_at"))),
         F.concat(F.lit("- tokens: prompt="), F.coalesce("prompt", F.lit(0)), F.lit(" completion="), F.coalesce("completion", F.lit(0))),
         F.concat(F.lit("- pipeline_version: "), _shown("pipeline_version")),
+        F.concat(F.lit("- prompts: "), _shown(_held(jobs, "prompts"))),
+        F.concat(F.lit("- models: agent="), _shown(_held(jobs, "agent_model")), F.lit(" ocr="), _shown(_held(jobs, "ocr_model"))),
+        F.concat(F.lit("- dpi: "), _shown(_held(jobs, "render_dpi"))),
         F.concat(F.lit("- lint warnings: "), F.coalesce("n_warn", F.lit(0))),
     ]
     parts = [head.select("job_id", F.lit(0).alias("part"), F.posexplode(F.array(*texts)).alias("ord", "line"))]
@@ -107,10 +115,17 @@ def report_lines(jobs: DataFrame, pages: DataFrame, images: DataFrame, furniture
     parts.append(rows(pages.where("notes <> ''"), 9, by_page, F.concat(F.lit("- page "), "page_number", F.lit(": "), "notes")))
     parts.append(fixed(10, "", "## Running furniture stripped", ""))
     parts.append(rows(furniture, 11, [F.col("text")], F.concat(F.lit("- '"), "text", F.lit("' (on "), "pages", F.lit(" pages)"))))
-    parts.append(fixed(12, "", "## Per-page telemetry", ""))
+    parts.append(fixed(12, "", "## Per-page telemetry (FR-AGT-10)", ""))
     floor = F.coalesce(percent(F.col("floor_score")), F.lit("n/a"))
     floor = F.when(F.col("floor_score").isNull(), "n/a").otherwise(floor)
-    telemetry = F.concat(F.lit("- page "), "page_number", F.lit(": dpi="), _shown("render_dpi"), F.lit(" retries="), _shown("retries"), F.lit(" verification_score="), _shown("coverage_score"), F.lit(" floor="), floor)
+    own = lambda c: _shown(_held(pages, c))
+    took = lambda c: _shown(F.bround(_held(pages, c).cast("double"), 1))
+    hashes = F.concat_ws("/", *map(own, ("source_page_hash", "render_hash", "reference_hash", "markdown_hash")))
+    telemetry = F.concat(
+        F.concat(F.lit("- page "), "page_number", F.lit(": dpi="), _shown("render_dpi"), F.lit(" image="), own("image_width"), F.lit("x"), own("image_height"), F.lit(" "), own("image_bytes"), F.lit("B")),
+        F.concat(F.lit(" model="), own("model"), F.lit(" effort="), own("effort"), F.lit(" transcribe_ms="), took("transcribe_ms"), F.lit(" verify_ms="), took("verify_ms"), F.lit(" ocr_ms="), took("ocr_ms")),
+        F.concat(F.lit(" retries="), _shown("retries"), F.lit(" verification_score="), _shown("coverage_score"), F.lit(" floor="), floor, F.lit(" hashes="), hashes),
+    )
     parts.append(rows(pages, 13, by_page, telemetry, None))
     parts.append(fixed(14, "", "## Figures placed without placeholder (appended at page end)", ""))
     parts.append(rows(orphans, 15, [F.col("page"), F.col("index")], F.concat(F.lit("- page "), "page", F.lit(" index="), "index", F.lit(" alt='"), F.substring("alt", 1, 80), F.lit("' reason="), F.coalesce("reason", F.lit("")))))

@@ -83,6 +83,39 @@ def illegal_transitions(log: DataFrame, order: str = "seq") -> DataFrame:
     return steps.where(~cancelled).join(F.broadcast(allowed.select(F.col("status").alias("before"), F.col("next").alias("status"))), ["before", "status"], "left_anti").select("job_id", order, "before", "status")
 
 
+def created(jobs: DataFrame) -> DataFrame:
+    """Rows of new jobs (job_id, filename, page_count, and options as JSON and other columns as given): queued, not started, the first version."""
+    never = F.lit(None).cast("timestamp")
+    given = jobs if "options" in jobs.columns else jobs.withColumn("options", F.lit("{}"))
+    return given.select("*", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("stage"), F.current_timestamp().alias("created_at"), never.alias("started_at"), never.alias("finished_at"), F.lit(0).cast("long").alias("version"))
+
+
+def status_rows(jobs: DataFrame, job_id: str, status: str, stage: str | None = None) -> DataFrame:
+    """The row to append that gives a job of the current view a status: it starts when it first leaves the queue and is finished in a final status, until it goes on. An unknown job is a KeyError."""
+    own = jobs.where(F.col("job_id") == job_id)
+    if own.isEmpty():
+        raise KeyError(f"unknown job {job_id}")
+    now = F.current_timestamp()
+    return (
+        own.withColumn("status", F.lit(status))
+        .withColumn("stage", F.lit(stage) if stage is not None else F.col("stage"))
+        .withColumn("started_at", F.coalesce("started_at", now) if status != "queued" else F.col("started_at"))
+        .withColumn("finished_at", now if status in FINAL_JOBS else F.lit(None).cast("timestamp"))
+        .withColumn("version", F.col("version") + 1)
+        .select(*jobs.columns)
+    )
+
+
+def job(jobs: DataFrame, job_id: str) -> DataFrame:
+    """A job's row of the current view; none if it is unknown."""
+    return jobs.where(F.col("job_id") == job_id)
+
+
+def page_list(pages: DataFrame) -> DataFrame:
+    """What a list of pages shows of the current view, in order within each job by the caller."""
+    return pages.select("job_id", "page_number", "status", "coverage_score", "needs_review")
+
+
 def append(table: DataFrame, path: str, keys: list[str] | None = None) -> None:
     """Appends rows to a store table, partitioned by ``keys``."""
     writer = table.write.mode("append")

@@ -21,8 +21,8 @@ from quire.functions import text as X
 from quire.operators import assembly, envelope, gating, store
 from quire.plans.resilience import Outcome, resilient
 from quire.sources import schemas
-from quire.sources.settings import Settings
-from quire.streaming.control import Control
+from quire.sources.settings import Settings, overridden
+from quire.streaming.control import Admission, Control
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,9 @@ def page_attempts(row, settings: Settings, models: Models) -> list[dict]:
         out.append(own)
         context, parsed = (row.context + note).strip(), {"error": "no reply"}
         for _ in range(envelope.MOST_ATTEMPTS):
+            asked = time.perf_counter()
             got = resilient(lambda: models.transcribe(row.job_id, row.page_number, reference, context, row.outline, dpi), sleep=models.sleep, name="transcribe")  # noqa: B023
+            own["transcribe_ms"] = own.get("transcribe_ms", 0.0) + (time.perf_counter() - asked) * 1000
             if got.error:
                 return [*out[:-1], own | {"envelope_error": got.error, "paused": got.paused}]
             parsed = envelope.attempted(envelope.transcription, got.value.raw)
@@ -108,7 +110,9 @@ def page_attempts(row, settings: Settings, models: Models) -> list[dict]:
         own["envelope_error"] = parsed["error"]
         if parsed["error"] is None:
             own |= {"markdown": parsed["markdown"], "figures": json.dumps(parsed["figures"]), "notes": parsed["notes"]}
+            asked = time.perf_counter()
             got = resilient(lambda: models.verify(row.job_id, row.page_number, own["markdown"], reference, row.outline, dpi), sleep=models.sleep, name="verify")  # noqa: B023
+            own["verify_ms"] = (time.perf_counter() - asked) * 1000
             if got.error:
                 return [*out[:-1], own | {"envelope_error": got.error, "paused": got.paused}]
             own["prompt_tokens"] += got.value.prompt_tokens
@@ -183,14 +187,15 @@ def run(spark: SparkSession, path: str, pages: DataFrame, models: Models, settin
             return Summary("completed", wave)
         stopped = got.where("paused").select("envelope_error").first()
         done = got.join(got.where("paused").select("job_id").distinct(), "job_id", "left_anti")
-        reduced = gating.reduced(done, settings.coverage_threshold, settings.coverage_floor).withColumn("version", F.unix_micros(F.current_timestamp()))
+        reduced = gating.reduced(done, settings.coverage_threshold, settings.coverage_floor)
+        reduced = reduced.withColumn("model", F.lit(settings.agent_model)).withColumn("effort", F.lit(settings.thinking_transcribe)).withColumn("version", F.unix_micros(F.current_timestamp()))
         store.append(store.admitted(now, reduced, ["job_id", "page_number"]), f"{path}/checkpoints")
         wave += 1
         if stopped is not None:
             return Summary("paused", wave, stopped["envelope_error"])
 
 
-CHECKPOINT = "job_id string, page_number int, status string, render_dpi int, reference_kind string, markdown string, coverage_score int, retries int, needs_review boolean, floor_score double, notes string, token_usage struct<prompt:bigint,completion:bigint>, ms double, version bigint"
+CHECKPOINT = "job_id string, page_number int, status string, render_dpi int, reference_kind string, markdown string, coverage_score int, retries int, needs_review boolean, floor_score double, notes string, figures string, token_usage struct<prompt:bigint,completion:bigint>, ms double, transcribe_ms double, verify_ms double, reference_hash string, markdown_hash string, model string, effort string, version bigint"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -207,6 +212,33 @@ def documents(spark: SparkSession, path: str, settings: Settings | None = None)
     return assembly.joined_pages(clean).select(F.col("doc_id").alias("job_id"), assembly.assembled(F.col("document"), settings.toc_enabled).alias("document"))
 
 
+class Conflict(RuntimeError):
+    """A job that can't be restarted as it is."""
+
+
+def restart(spark: SparkSession, path: str, job_id: str, pages: DataFrame, models: Models, admission: Admission) -> Summary:
+    """Goes on with a job that ended early, on its checkpoints and with the options of its own snapshot (JSON in the jobs log). One job runs at a time."""
+    job = store.latest(spark.read.parquet(f"{path}/jobs"), ["job_id"]).where(F.col("job_id") == job_id).first()
+    if job is None:
+        raise KeyError(f"unknown job {job_id}")
+    if job["status"] == "completed":
+        raise Conflict(f"already completed: {job_id}")
+    own = pages.where(F.col("job_id") == job_id)
+    if own.isEmpty():
+        raise Conflict(f"nothing to resume: {job_id}")
+    if not admission.admit(job_id):
+        raise Conflict("another job is running")
+    try:
+        settings = overridden(Settings(), json.loads(job["options"] or "{}"))
+        store.append(store.status_rows(store.latest(spark.read.parquet(f"{path}/jobs"), ["job_id"]), job_id, "transcribing", "restart"), f"{path}/jobs")
+        got = run(spark, f"{path}/{job_id}", own, models, settings)
+        status = {"completed": "assembling"}.get(got.reason, got.reason)
+        store.append(store.status_rows(store.latest(spark.read.parquet(f"{path}/jobs"), ["job_id"]), job_id, status, None), f"{path}/jobs")
+        return got
+    finally:
+        admission.release(job_id)
+
+
 def ablation(spark: SparkSession, path: str, pages: DataFrame, models: Models, arms: dict[str, Settings]) -> DataFrame:
     """Runs every arm over all jobs into a store of its own and returns the manifest (arm, reason, waves, seconds)."""
     rows = []

@@ -9,4 +9,4 @@ IMAGES = """job_id STRING, page_number INT, image_id BIGINT, asset_path STRING,
 mermaid STRING, diagram_type STRING, conversion_status STRING, confidence INT"""
 EVENTS = "job_id STRING, event_id BIGINT, ts TIMESTAMP, level STRING, stage STRING, message STRING"
 ATTEMPTS = """job_id STRING, page_number INT, attempt INT, dpi INT, reference_kind STRING, reference STRING, raw STRING, markdown STRING, figures STRING, notes STRING,
-coverage INT, verdict STRING, misses ARRAY<STRING>, floor_score DOUBLE, prompt_tokens BIGINT, completion_tokens BIGINT, ms DOUBLE, envelope_error STRING"""
+coverage INT, verdict STRING, misses ARRAY<STRING>, floor_score DOUBLE, prompt_tokens BIGINT, completion_tokens BIGINT, ms DOUBLE, transcribe_ms DOUBLE, verify_ms DOUBLE, envelope_error STRING"""

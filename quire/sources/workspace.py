@@ -8,8 +8,6 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-from quire.functions.mathspans import safe_text
-
 MARKER, LISTED, LEAST_DISK = ".delete-later", 500, 500 << 20
 
 
@@ -79,7 +77,7 @@ def output_dir(path: str) -> Path:
 
 
 def write_deliverable(out: str | Path, name: str, markdown: str, assets: str | Path, report: str) -> dict[str, Path]:
-    """``<name>.md`` with links into ``<name>/assets``, which is made anew, and ``<name>/conversion-report.md``."""
+    """``<name>.md`` with links into ``<name>/assets``, which is made anew, and ``<name>/conversion-report.md``. The markdown is written as it is but for its links."""
     out, name = Path(out), docname(name)
     held = out / name / "assets"
     if held.exists():
@@ -90,7 +88,7 @@ def write_deliverable(out: str | Path, name: str, markdown: str, assets: str | P
             if item.is_file():
                 shutil.copy2(item, held / item.name)
     document, account = out / f"{name}.md", out / name / "conversion-report.md"
-    document.write_text(safe_text(markdown).replace("(assets/", f"({name}/assets/"), encoding="utf-8")
+    document.write_text(markdown.replace("(assets/", f"({name}/assets/"), encoding="utf-8")
     account.write_text(report, encoding="utf-8")
     return {"document": document, "assets": held, "report": account}
 

@@ -87,7 +87,7 @@ def test_deliverable(tmp_path):
     assets.mkdir()
     (assets / "p.png").write_bytes(b"1")
     out = tmp_path / "out"
-    W.write_deliverable(out, "a", "![x](assets/p.png) $\\{$", assets, "r1")
+    W.write_deliverable(out, "a", "![x](assets/p.png)", assets, "r1")
     (out / "a" / "assets" / "stale.png").write_bytes(b"2")
     got = W.write_deliverable(out, "a", "![x](assets/p.png)", assets, "r2")
     W.write_deliverable(out, "b", "t", tmp_path / "missing", "r")
