@@ -21,7 +21,7 @@ from quire.functions import text as X
 from quire.operators import assembly, envelope, gating, store
 from quire.plans.resilience import Outcome, resilient
 from quire.sources import schemas
-from quire.sources.settings import Settings, overridden
+from quire.sources.settings import Settings, options, overridden
 from quire.streaming.control import Admission, Control
 
 
@@ -229,7 +229,7 @@ def restart(spark: SparkSession, path: str, job_id: str, pages: DataFrame, model
     if not admission.admit(job_id):
         raise Conflict("another job is running")
     try:
-        settings = overridden(Settings(), json.loads(job["options"] or "{}"))
+        settings = overridden(Settings(), options(job["options"]))
         store.append(store.status_rows(store.latest(spark.read.parquet(f"{path}/jobs"), ["job_id"]), job_id, "transcribing", "restart"), f"{path}/jobs")
         got = run(spark, f"{path}/{job_id}", own, models, settings)
         status = {"completed": "assembling"}.get(got.reason, got.reason)

@@ -6,10 +6,15 @@ import contextvars
 import json
 import logging
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from quire.plans.resilience import resolve_model
+from quire.sources import workspace
+from quire.sources.settings import Settings
+
 _context: contextvars.ContextVar[dict] = contextvars.ContextVar("quire", default={})
 
 
@@ -59,3 +64,21 @@ class Progress(StreamingQueryListener):
 
     def onQueryTerminated(self, event):
         logging.getLogger("quire").info("stream %s ended", event.id)
+
+
+def health_checks(settings: Settings, path: str, *, version: Callable[[], str], local_models: Callable[[], list[str]], remote_models: Callable[[], list[str]], ask_database: Callable[[], object]) -> dict[str, Callable[[], str]]:
+    """The checks for ``workspace.probe``: recognition service and its model, transcription model and key, database, disk. What reaches a service is injected."""
+
+    def has(wanted: str, listed: Callable[[], list[str]]) -> str:
+        return f"model present: {resolve_model(wanted, listed())}"
+
+    def remote() -> str:
+        if not settings.agent_api_key:
+            raise PermissionError("no key")
+        return has(settings.agent_model, remote_models)
+
+    def database() -> str:
+        ask_database()
+        return "database responding"
+
+    return {"recognition": lambda: f"version {version()}", "local_models": lambda: has(settings.ocr_model, local_models), "agent": remote, "database": database, "disk": lambda: workspace.disk_probe(path)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
@@ -95,6 +96,17 @@ def load(path: str | None = None, environ: dict[str, str] | None = None) -> Sett
     return Settings(**own)
 
 
+def options(text: str | None) -> dict:
+    """A job's options from JSON: an object, or nothing."""
+    try:
+        own = json.loads(text or "{}")
+    except json.JSONDecodeError as e:
+        raise ValueError(f"options are no JSON: {e}") from e
+    if not isinstance(own, dict):
+        raise ValueError("options must be a JSON object")
+    return own
+
+
 def overridden(settings: Settings, changes: dict) -> Settings:
     """A job's options: known names with a value of the same type replace the setting, others are ignored; values are checked."""
     known = {f.name for f in fields(Settings)} - set(_SECRETS)

@@ -98,6 +98,23 @@ def test_deliverable(tmp_path):
     assert W.artifact(None, out / "no", out / "a.md") == out / "a.md" and W.folders(str(out)) == ["a", "b"]
 
 
+def test_health_and_options(tmp_path):
+    from quire.sources import settings as S
+
+    def down():
+        raise ConnectionError("host:port")
+
+    own = S.Settings(agent_api_key="k")
+    calls = dict(version=lambda: "1.2", local_models=lambda: ["ocr"], remote_models=lambda: ["other"], ask_database=down)
+    got = {r["name"]: r for r in W.probe(monitor.health_checks(own, str(tmp_path), **calls))}
+    assert [got[n]["ok"] for n in ("recognition", "local_models", "agent", "database")] == [True, True, False, False] and got["database"]["detail"] == "ConnectionError"
+    assert {r["name"]: r for r in W.probe(monitor.health_checks(S.Settings(), str(tmp_path), **calls))}["agent"]["detail"] == "PermissionError"
+    assert S.options(None) == {} and S.options('{"render_dpi": 300}') == {"render_dpi": 300}
+    for bad in ("[1]", "{", "3"):
+        with pytest.raises(ValueError):
+            S.options(bad)
+
+
 def test_probes_and_logs(tmp_path, capsys):
     def broken():
         raise RuntimeError("secret")
