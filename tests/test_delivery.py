@@ -90,13 +90,13 @@ def test_to_the_deliverable(spark, stored, natives, tmp_path):
 
 
 def test_without_picture_and_without_models(spark, stored, natives):
-    calm = delivery.Tools(crop)
     settings = Settings(diagram_keep_image=False)
     assert not any(r.hard_fail for r in delivery.deliver(spark, stored, jobs_of(spark, "a"), *natives, TOOLS, settings).collect())
     assert {r.file for r in spark.read.parquet(f"{stored}/assets").collect()} == {"page-001-img-02.jpeg", "page-001-img-04.png"}
     assert {r.image_id: r.asset_path for r in spark.read.parquet(f"{stored}/images").collect()}[1] == ""
-    delivery.deliver(spark, stored, jobs_of(spark, "b"), *natives, calm).collect()
-    assert {r.conversion_status for r in spark.read.parquet(f"{stored}/images").collect()} == {"image"}
+    found = spark.createDataFrame([("b", 1, 1, "a", "c", 0.0, 0.0, 9.0, 9.0)], "doc_id string, page_number int, idx int, alt string, caption string, x0 double, y0 double, x1 double, y1 double")
+    for tools, own in ((delivery.Tools(crop), Settings()), (TOOLS, Settings(diagram_to_mermaid=False))):
+        assert [(r.convertible, r.reason, r.mermaid) for r in delivery.diagrams(found, crop(found), natives[1], tools, own).collect()] == [(False, "", None)]
     blind = delivery.Tools(lambda boxes: boxes.select("doc_id", "page_number", "idx", F.lit(None).cast("binary").alias("png")))
     got = delivery.deliver(spark, stored, jobs_of(spark, "b"), *natives, blind).first()
     assert got.hard_fail and len(got.reasons) == 2 and spark.read.parquet(f"{stored}/assets").count() == 0
