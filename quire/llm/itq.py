@@ -5,8 +5,8 @@ code of m substrings is cut into m Hamming tables: codes that differ in fewer th
 finds all), and vectors that agree on one are candidates. Every candidate pair is decided by the cosine of the original vectors in double precision.
 
 Rotations, each learned from another start, are added, as many as it takes, until pairs that lie exactly at the threshold (sample vectors moved by that
-angle) meet in some table with probability ``RECALL``. (A table of another rotation finds more for its cost than probing the neighbours of a substring does: at 26 bits and a cosine
-of 0.95, 27 probes of one table find 0.25 of such pairs, 27 tables 0.83.) The length of a substring is chosen among those that leave a table's buckets
+angle) meet in some table with probability ``RECALL``. (A table of another rotation finds more for its cost than probing the neighbours of a substring does: reckoned for independent bits, at 26 bits and a
+cosine of 0.95, 27 probes of one table find 0.25 of such pairs, 27 tables 0.83.) The length of a substring is chosen among those that leave a table's buckets
 at about ``LOADS`` vectors: the one whose tables cost least.
 
 A bucket's pairs are not emitted: each bucket leaves, for each vector, the number of its links that no earlier table has, and
